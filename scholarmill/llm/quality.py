@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scholarmill.session import cut_lineage
 
 #: A line is boilerplate on a host if more documents than both of these have it.
-MIN_DOCS, MAX_SHARE = 3, 0.01
+MIN_DOCS, MAX_SHARE = 5, 0.01
 #: A document is depleted if less than this share of its characters in lines is left.
 MIN_KEPT = 0.5
 #: Tables of boilerplate lines of at most so many rows are broadcast, larger ones are shuffled.
@@ -19,17 +19,18 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\x0B\f]{2,}|[\t\r\x0B\f]", " "))
 
 
-def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line_hash, n_docs, host_docs) of the lines above the limits.
 
-    Distinct documents are counted by key, all rows of a null key as one
-    document; a null host is a host of its own. Blank lines don't count.
-    Only hashes of lines are shuffled, once per document that has the line.
+    Documents are distinct by their text: copies of one document count once, so
+    that a document isn't boilerplate for having been copied whole. A null host
+    is a host of its own. Blank lines don't count. Only hashes of lines are
+    shuffled, once per document that has the line.
     """
     hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    lines = docs.select(F.col(host).alias("host"), F.col(key).alias("key"), F.explode(hashes).alias("line_hash"))
-    count = lines.groupBy("host", "line_hash").agg(F.countDistinct(F.struct("key")).alias("n_docs"))
-    sizes = docs.select(F.col(host).alias("host"), F.col(key).alias("key")).groupBy("host").agg(F.countDistinct(F.struct("key")).alias("host_docs"))
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("whole"), F.explode(hashes).alias("line_hash"))
+    count = lines.groupBy("host", "line_hash").agg(F.countDistinct("whole").alias("n_docs"))
+    sizes = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("whole")).groupBy("host").agg(F.countDistinct("whole").alias("host_docs"))
     over = count.where(F.col("n_docs") > min_docs).join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     return over.where(F.col("n_docs") > max_share * F.col("host_docs"))
 
@@ -44,7 +45,7 @@ def line_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     stays as it is, blank lines too. An empty table gives an empty result.
     """
     names = docs.columns
-    bad = cut_lineage(boilerplate(docs, key, text, host, min_docs, max_share).select("host", "line_hash"))
+    bad = cut_lineage(boilerplate(docs, text, host, min_docs, max_share).select("host", "line_hash"))
     rows = docs.select(F.struct(*names).alias("d"), F.col(host).alias("h"), F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), normal_line(x).alias("normal"))).alias("lines"))
     # At most (lines a document) / max_share lines of a host can be above max_share of its documents.
     if bad.count() <= BROADCAST_ROWS:
@@ -63,3 +64,24 @@ def line_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     rows = rows.where((size("kept") > 0) & (size("kept") >= min_kept * size("lines")))
     cleaned = F.when(F.size("kept") == F.size("lines"), F.col("d").getField(text)).otherwise(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"))
     return rows.select(*[cleaned.alias(c) if c == text else F.col("d").getField(c).alias(c) for c in names])
+
+
+#: DuckDB SQL for line_quality(documents) with the limits above.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT *, row_number() OVER () AS rid, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT rid, source, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+n AS (SELECT *, trim(regexp_replace(lower(line), '[ \t\r\x0B\f]{{2,}}|[\t\r\x0B\f]', ' ', 'g')) AS norm FROM l),
+bad AS (
+  SELECT n.source, n.norm FROM n
+  JOIN (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY 1) s ON n.source IS NOT DISTINCT FROM s.source
+  WHERE norm <> '' GROUP BY n.source, n.norm
+  HAVING count(DISTINCT text) > {MIN_DOCS} AND count(DISTINCT text) > {MAX_SHARE} * max(host_docs)),
+m AS (
+  SELECT n.*, NOT EXISTS (SELECT 1 FROM bad b WHERE b.source IS NOT DISTINCT FROM n.source AND b.norm = n.norm) AS keep FROM n),
+k AS (
+  SELECT rid, sum(length(norm)) AS before, coalesce(sum(length(norm)) FILTER (keep), 0) AS after, bool_and(keep) AS whole,
+         string_agg(line, chr(10) ORDER BY i) FILTER (keep) AS cleaned
+  FROM m GROUP BY rid)
+SELECT d.doc_id, CASE WHEN k.whole THEN d.text ELSE k.cleaned END AS text, d.lang, d.source, d.n_chars
+FROM d JOIN k USING (rid) WHERE k.after > 0 AND k.after >= {MIN_KEPT} * k.before
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarmill.session import cut_lineage
 
@@ -45,7 +45,7 @@ def directory(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str =
     depth = min(MAX_DEPTH, STEP + math.ceil(math.log2(max(1.0, total[0] / max_bytes))))
     if not total[1]:
         return docs.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("n_docs"), F.lit(0).cast("bigint").alias("n_bytes"))
-    low, leaves, live = 0, None, rows
+    low, leaves, live, over = 0, None, rows, None
     while True:
         cells = cut_lineage(live.groupBy(prefix(F.col("bits"), depth).alias("cell")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_keys")))
         levels = (
@@ -57,10 +57,10 @@ def directory(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str =
         levels = levels.withColumn("fits", fits)
         inner = levels.where(~F.col("fits") & (F.col("depth") < depth)).select((F.col("depth") + 1).alias("depth"), "prefix")
         born = inner.select("depth", F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-        if low == 0:
+        if over is None:
             born = born.union(docs.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix")))
         else:
-            born = born.union(over.select("depth", "prefix"))  # noqa: F821
+            born = born.union(over.select("depth", "prefix"))
         leaf = levels.join(born, ["depth", "prefix"], "left_semi").where("fits").select("depth", "prefix", "n_docs", "n_bytes")
         leaves = leaf if leaves is None else leaves.union(leaf)
         deepest = levels.where(~F.col("fits") & (F.col("depth") == depth)).select("prefix")
@@ -72,33 +72,36 @@ def directory(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str =
         low, depth = depth + 1, nxt
 
 
-def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, shard_depth, shard_prefix, shard_id) for each row of docs.
+def shard_name(depth: Column, first_bits: Column) -> Column:
+    """The bits of a leaf as text, the empty string for the whole directory; names sort by hash."""
+    return F.when(depth == 0, F.lit("")).otherwise(F.call_function("lpad", F.bin(first_bits), depth.cast("int"), F.lit("0")))
+
 
-    shard_id numbers the shards by the order of their prefixes. The size of a
-    row is the UTF-8 bytes of its text, 0 for a null or an empty one. Rows of
-    one key, also repeated rows and all rows of a null key, share a shard; a
-    row above the limit has a shard of its own. Other columns of docs play no
-    part. An empty table gives an empty result.
+def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, shard_depth, shard_id) for each row of docs.
+
+    shard_id is the hash prefix of the shard, a string of shard_depth bits, so
+    no task numbers the shards. The size of a row is the UTF-8 bytes of its
+    text, 0 for a null or an empty one. Rows of one key, also repeated rows and
+    all rows of a null key, share a shard; a row above the limit has a shard of
+    its own. Other columns of docs play no part. An empty table gives an empty
+    result.
     """
-    leaves = directory(docs, max_bytes, key, text)
-    # The least hash of a leaf orders the leaves; ids need one task over the leaf table, which has one row a shard.
-    first = F.call_function("shiftleft", F.col("prefix"), (F.lit(MAX_DEPTH) - F.col("depth")).cast("int"))
-    leaves = leaves.select("depth", "prefix", (F.row_number().over(Window.orderBy(first)) - 1).cast("bigint").alias("shard_id"))
-    leaves = cut_lineage(leaves)
-    small = leaves.count() <= BROADCAST_ROWS
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())
+    leaves = directory(docs, max_bytes, key, text).select("depth", "prefix")
+    facts = leaves.agg(F.count("*"), F.collect_set("depth")).first()
+    depths = sorted(facts[1])
     rows = docs.select(F.col(key), _n_bytes(text).alias("n_bytes"), hash_bits(F.col(key)).alias("_bits"))
-    tries = rows.withColumn("_try", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), prefix(F.col("_bits"), d).alias("p")) for d in depths] or [F.struct(F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("p"))])))
-    side = F.broadcast(leaves) if small else leaves
+    # A row meets one leaf among the depths in use, of which there are few.
+    tries = rows.withColumn("_try", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), prefix(F.col("_bits"), d).alias("p")) for d in depths])))
+    side = F.broadcast(leaves) if facts[0] <= BROADCAST_ROWS else leaves
     found = tries.join(side, (F.col("_try.d") == F.col("depth")) & (F.col("_try.p") == F.col("prefix")))
-    return found.select(key, "n_bytes", F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "shard_id")
+    return found.select(key, "n_bytes", F.col("depth").alias("shard_depth"), shard_name(F.col("depth"), F.col("prefix")).alias("shard_id"))
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write docs as Parquet with one directory a shard, shard_id=N.
+    """Write docs as Parquet with one directory a shard, shard_id=N; the whole directory is named `all`.
 
     docs must have no columns shard_id and _shard_bits.
     """
-    ids = shard(docs.select(key, text), max_bytes, key, text).select(hash_bits(F.col(key)).alias("_shard_bits"), "shard_id").distinct()
+    ids = shard(docs.select(key, text), max_bytes, key, text).select(hash_bits(F.col(key)).alias("_shard_bits"), F.when(F.col("shard_depth") == 0, F.lit("all")).otherwise(F.concat(F.lit("b"), "shard_id")).alias("shard_id")).distinct()
     docs.withColumn("_shard_bits", hash_bits(F.col(key))).join(ids, "_shard_bits").drop("_shard_bits").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
