@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops make a vertex known; edges with a null end are dropped; an empty edge
     list gives an empty result.
     """
-    edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    # Written first: it is read for loops and for links, and what makes the edges may be costly.
+    edges = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"))
     loops = edges.where("a = b").select("a").distinct()
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     shape = None
