@@ -6,17 +6,18 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from scholarmill.schema import DOC_TYPES
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Letters without their accents; what isn't ASCII then goes. Spark has no Unicode normalisation of its own."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFD", x).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities as characters, then ASCII only and trimmed; a null is an empty text."""
     import html
@@ -97,7 +98,7 @@ def name_parts(full: Column) -> Column:
     return F.struct(last.alias("LastName"), first.alias("FirstName"), middle.alias("MiddleName"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence by the sum of lengths; Spark's levenshtein has substitutions of cost 1 and isn't the same."""
 

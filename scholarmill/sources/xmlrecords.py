@@ -37,7 +37,7 @@ def read_pubmed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = {"publication": x.select("PublicationId", year.alias("Year"), F.col("a.Journal.ISSN._VALUE").alias("JournalId"), F.col("a.Journal.Title").alias("JournalName"), F.col("a.ArticleTitle").alias("Title"), X.standard_doi(doi).alias("Doi"), issue["Volume"].alias("Volume"), issue["Issue"].alias("Issue"), F.array_join("a.PublicationTypeList.PublicationType._VALUE", ";").alias("DocType"), F.size(F.coalesce("a.AuthorList.Author", F.array())).alias("TeamSize"))}
     au = x.select("PublicationId", F.posexplode("a.AuthorList.Author").alias("i", "p"))
     au = au.select("PublicationId", (F.col("i") + 1).alias("AuthorSequence"), "p", F.explode_outer("p.AffiliationInfo.Affiliation").alias("OrigAffiliationName"))
-    out["publicationauthoraffiliation"] = au.select("PublicationId", "AuthorSequence", F.coalesce("p.LastName", "p.CollectiveName").alias("LastName"), F.col("p.ForeName").alias("FirstName"), F.coalesce(F.concat_ws(" ", "p.ForeName", "p.LastName"), "p.CollectiveName").alias("OrigAuthorName"), "OrigAffiliationName")
+    out["publicationauthoraffiliation"] = au.select("PublicationId", "AuthorSequence", F.coalesce("p.LastName", "p.CollectiveName").alias("LastName"), F.col("p.ForeName").alias("FirstName"), F.coalesce(F.nullif(F.concat_ws(" ", "p.ForeName", "p.LastName"), F.lit("")), "p.CollectiveName").alias("OrigAuthorName"), "OrigAffiliationName")
     terms = lambda c, n, k: x.select("PublicationId", F.explode(c).alias("f")).select("PublicationId", F.col(f"f.{n}._UI").alias("FieldId"), F.col(f"f.{n}._VALUE").alias("FieldName"), F.lit(k).alias("FieldType"))
     fields = terms("m.MeshHeadingList.MeshHeading", "DescriptorName", "mesh").union(terms("m.ChemicalList.Chemical", "NameOfSubstance", "chemical"))
     out["pub2field"] = fields.select("PublicationId", "FieldId", "FieldType")
