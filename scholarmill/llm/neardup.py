@@ -193,7 +193,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int =
     mark = F.xxhash64(text)
     gone = cut_lineage(duplicates(docs.select(key, text), key, text, near, least).select(F.col(key).alias("gone_key"), F.col("mark").alias("gone_mark")))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    rows = docs.select(F.struct(*names).alias("d"), F.col(key).alias("key"), mark.alias("mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col(key).alias("key"), mark.alias("mark"))
     rows = rows.join(side, (F.col("key") == F.col("gone_key")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
     twice = cut_lineage(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("gone_key"), mark.alias("gone_mark")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if not twice.isEmpty():

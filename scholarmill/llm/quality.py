@@ -46,7 +46,7 @@ def line_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     """
     names = docs.columns
     bad = cut_lineage(boilerplate(docs, text, host, min_docs, max_share).select("host", "line_hash"))
-    rows = docs.select(F.struct(*names).alias("d"), F.col(host).alias("h"), F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), normal_line(x).alias("normal"))).alias("lines"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col(host).alias("h"), F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), normal_line(x).alias("normal"))).alias("lines"))
     # At most (lines a document) / max_share lines of a host can be above max_share of its documents.
     if bad.count() <= BROADCAST_ROWS:
         by_host = bad.groupBy(F.col("host").alias("bad_host")).agg(F.collect_set("line_hash").alias("bad"))
