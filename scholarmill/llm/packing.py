@@ -16,6 +16,8 @@ from scholarmill.session import cut_lineage
 CAPACITY = 8192
 #: Rows packed together, islands of such a group, individuals of an island.
 GROUP_ROWS, ISLANDS, POPULATION = 2048, 3, 6
+#: Items of a bin at most for which pairs are tried when a loose item may take their place.
+PAIRS = 24
 #: Rounds of evolution with a migration after each, and generations of a round.
 ROUNDS, GENERATIONS = 3, 8
 
@@ -50,15 +52,44 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return max(math.ceil(int(sizes.sum()) / capacity), int((2 * sizes > capacity).sum()), int(len(sizes) > 0))
 
 
+def settle(sizes: np.ndarray, loose: list[int], bins: list[list[int]], capacity: int) -> None:
+    """Put loose items into bins, to which new ones are added: where one fills a bin better than one or two of its items, it takes their place, and they are loose instead; the rest is best-fitted."""
+    rooms = [capacity - sum(int(sizes[i]) for i in x) for x in bins]
+    loose = sorted(loose, key=lambda i: (-sizes[i], i))
+    for b, x in enumerate(bins):
+        if not loose or rooms[b] == 0:
+            continue
+        options = [(int(sizes[i]), (i,)) for i in x] + ([(int(sizes[i]) + int(sizes[j]), (i, j)) for k, i in enumerate(x) for j in x[:k]] if len(x) <= PAIRS else [])
+        best = (0, None, None)
+        for new in loose:
+            size = int(sizes[new])
+            for old, out in options:
+                if best[0] < size - old <= rooms[b]:
+                    best = (size - old, new, out)
+            if best[0] == rooms[b]:
+                break
+        if best[0]:
+            gain, new, out = best
+            bins[b] = [i for i in x if i not in out] + [new]
+            rooms[b] -= gain
+            loose.remove(new)
+            loose += out
+            loose.sort(key=lambda i: (-sizes[i], i))
+    best_fit(sizes, loose, bins, rooms, capacity)
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """A child of a with some of b's fullest bins whole.
+    """A child of a with some of b's better filled bins whole.
 
     Bins of a that share items with these are taken apart; of their items,
-    those that the injected bins have are duplicates, the others are best-fitted.
+    those that the injected bins have are duplicates, the others are settled.
     """
+    if not b:
+        return [list(x) for x in a]
     full = np.array([sum(int(sizes[i]) for i in x) for x in b])
-    best = np.argsort(-full, kind="stable")[: max(1, len(b) // 2)]
-    injected = [b[k] for k in rng.choice(best, size=max(1, int(rng.integers(1, max(2, len(b) // 3 + 1)))) if len(best) > len(b) // 3 else 1, replace=False)] if len(b) else []
+    better = np.argsort(-full, kind="stable")[: max(1, (len(b) + 1) // 2)]
+    n = int(rng.integers(1, max(2, len(better) // 2 + 1)))
+    injected = [list(b[k]) for k in rng.choice(better, size=min(n, len(better)), replace=False)]
     inside = {i for x in injected for i in x}
     kept, loose = [], []
     for x in a:
@@ -66,20 +97,18 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, capacit
             kept.append(list(x))
         else:
             loose += [i for i in x if i not in inside]
-    bins = [list(x) for x in injected] + kept
-    rooms = [capacity - sum(int(sizes[i]) for i in x) for x in bins]
-    best_fit(sizes, loose, bins, rooms, capacity)
+    bins = injected + kept
+    settle(sizes, loose, bins, capacity)
     return bins
 
 
 def mutated(bins: list[list[int]], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """The emptiest bins and a few others are taken apart and best-fitted again."""
+    """The emptiest bins and a few others are taken apart and their items settled again."""
     full = np.array([sum(int(sizes[i]) for i in x) for x in bins])
     n = max(1, len(bins) // 10)
     gone = set(np.argsort(full, kind="stable")[:n].tolist()) | set(rng.integers(0, len(bins), n).tolist())
     kept = [list(x) for k, x in enumerate(bins) if k not in gone]
-    rooms = [capacity - sum(int(sizes[i]) for i in x) for x in kept]
-    best_fit(sizes, [i for k in gone for i in bins[k]], kept, rooms, capacity)
+    settle(sizes, [i for k in sorted(gone) for i in bins[k]], kept, capacity)
     return kept
 
 
@@ -120,14 +149,19 @@ def evolve(population: list[list[list[int]]], sizes: np.ndarray, capacity: int,
     for _ in range(generations):
         if scored[0][0][0] <= bound:
             break
+        known = {x[0] for x in scored}
         half = max(2, len(scored) // 2)
         for k in range(half):
-            i, j = rng.integers(0, half, 2) if half < len(scored) else rng.integers(0, len(scored), 2)
-            child = crossover(scored[i][2], scored[j][2], sizes, capacity, rng)
-            if k % 2:
+            i, j = rng.integers(0, len(scored), 2)
+            child = crossover(scored[min(i, j)][2], scored[max(i, j)][2], sizes, capacity, rng) if k % 2 else crossover(scored[i][2], scored[j][2], sizes, capacity, rng)
+            if i == j or rng.random() < 0.66:
                 child = mutated(child, sizes, capacity, rng)
             count += 1
-            scored.append(((len(child), -fitness(child, sizes, capacity)), count, child))
+            worth = (len(child), -fitness(child, sizes, capacity))
+            # Children that are worth the same as another one are taken to be the same.
+            if worth not in known:
+                known.add(worth)
+                scored.append((worth, count, child))
         scored = sorted(scored, key=lambda x: x[:2])[: len(population)]
     return [x for _, _, x in scored]
 
