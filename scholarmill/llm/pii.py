@@ -219,6 +219,7 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 1) -> list[tuple[list[str], l
             [f"{digits(2)}:{digits(2)}"], [f"{digits(2)}:{digits(2)}:{digits(2)}"], [f"${digits(1, '1')},{digits(3)}.{digits(2)}"], [f"{digits(3, '1')},{digits(3)}"], [pick("1st", "2nd", "3rd", "4th", "x86", "A4", "B2B", "c++", "+", "CO2")], [hexes], ['"' + hexes + '"'], [f"@{word()}"], [f"{digits(1)}+{digits(1)}"], [f"{digits(2)}-{digits(2)}"], [f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"],
             ["CC", "BY-NC", f"{digits(1)}.{digits(1)}"], [f"http://{word()}.{word()}.com/{word()}/{digits(3)}?page={digits(1)}&ref=x"], [digits(int(rng.integers(17, 30)), "1")], [f"#{digits(5)}"], [f"{word()}{digits(2)}"], [f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}"], ["@"], [f"{rng.integers(256, 1000)}.{rng.integers(256, 1000)}.{rng.integers(256, 1000)}.{rng.integers(256, 1000)}"], [digits(int(rng.integers(1, 4)), "1"), digits(int(rng.integers(1, 4)), "1")],
             [f"{digits(2, '1')}.{digits(3)}.{digits(3)}"], [f"{digits(4)}-{digits(4)}"], [f"({rng.integers(1990, 2030)})"], [f"({digits(1)})"], [f"[{digits(2)}]"], [f"{word()}_{digits(3)}.{word(2, 4)}"], [f"{rng.integers(1990, 2030)}", f"{digits(2)}"],
+            [digits(int(rng.integers(1, 5)), "1") for _ in range(int(rng.integers(3, 13)))], [digits(int(rng.integers(1, 3)), "1") for _ in range(int(rng.integers(3, 13)))], [digits(1, "1")] * int(rng.integers(3, 13)), [f"{digits(1)}.{digits(2)}" for _ in range(int(rng.integers(3, 9)))],
         )
 
     make = {"email": email, "ip": ip, "phone": phone, "card": card, "ssn": ssn}
