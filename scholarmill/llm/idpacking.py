@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from scholarmill.llm import tokens as T
 
 #: Ids in a sequence; ids that a task packs at once; the id that ends each document and fills the sequence up.
-WIDTH, BLOCK, END = 2048, 8_000_000, 50256
+WIDTH, BLOCK, END = 2048, 2_000_000, 50256
 
 
 class Capacities:
@@ -137,8 +137,8 @@ def pack_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
             if number is None and batch.num_rows:
                 number = batch.column(2)[0].as_py() << 40
             begin = 0
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                ids.append(encode(x) + stop)
+            for i, x in enumerate(batch.column(1)):
+                ids.append(encode(x.as_py()) + stop)
                 held += len(ids[-1]) // 2
                 if held >= block:
                     keys.append(batch.column(0).slice(begin, i + 1 - begin))

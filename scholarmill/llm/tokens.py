@@ -13,7 +13,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary's text is cut into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Merged pre-tokens that a worker remembers; beyond that it forgets them all, which costs time only.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,7 +157,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value.counter()
         for batch in batches:
-            both = [(None, None) if x is None else count(x) for x in batch.column(1).to_pylist()]
+            both = [count(x.as_py()) if x.is_valid else (None, None) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64())], ["key", "n_tokens", "n_whole"])
 
     schema = d.select("key").schema.add("n_tokens", "long").add("n_whole", "long")
