@@ -105,7 +105,15 @@ def productivity_trajectory(yearly: DataFrame, by: str = "AuthorId", date: str =
     return rows.groupBy(by).applyInPandas(run, f"{by} {dict(yearly.dtypes)[by]}, t_break double, b double, m1 double, m2 double")
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function to 1.2e-7, by a rational Chebyshev fit; math.erf takes one number at a time."""
+    t = 1 / (1 + 0.5 * np.abs(x))
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    power = np.zeros_like(t)
+    for c in reversed(fit):
+        power = power * t + c
+    tail = t * np.exp(-x * x + power)
+    return np.where(x >= 0, 1 - tail, tail - 1)
 
 
 def predicted_citations(t: np.ndarray, lam: float, mu: float, sig: float, m: float = 30.0) -> np.ndarray:
@@ -130,7 +138,7 @@ def _fit_longterm(t: np.ndarray) -> tuple[float, float, float]:
         new[2] = max(abs(new[2]), 1e-3)
         r2 = error(new)
         if r2 @ r2 < r @ r:
-            small = np.abs(step).max() < 1e-9
+            small = np.abs(step).max() < 1e-9 or r @ r - r2 @ r2 < 1e-9 * (r @ r)
             p, r, damp = new, r2, damp / 3
             if small:
                 break

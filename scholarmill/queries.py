@@ -36,6 +36,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
 
+def nudged(df: DataFrame, column: str) -> DataFrame:
+    """A little more, as in the SQL: values like 19/128 lie between two roundings, and sums that cancel have either sign."""
+    return df.withColumn(column, F.col(column) + 1e-9)
+
+
 def author_years(spark: SparkSession, d: str) -> DataFrame:
     """(AuthorId, PublicationId, Year)."""
     return M.author2pub(spark, d).join(M.pub(spark, d).select("PublicationId", "Year"), "PublicationId")
@@ -530,9 +535,9 @@ CREDIT = """, k AS (SELECT PublicationId AS p, AuthorId, count(*) OVER (PARTITIO
 r AS (SELECT w.f AS PublicationId, m.AuthorId, sum(s / k.n) AS raw FROM w JOIN a2p m ON m.PublicationId = w.f JOIN k ON k.p = w.p AND k.AuthorId = m.AuthorId GROUP BY 1, 2)"""
 
 
-@query(CREDIT + " SELECT PublicationId, AuthorId, round(raw / sum(raw) OVER (PARTITION BY PublicationId), 6) AS CreditShare FROM r")
+@query(CREDIT + " SELECT PublicationId, AuthorId, round(raw / sum(raw) OVER (PARTITION BY PublicationId) + 1e-9, 6) AS CreditShare FROM r")
 def credit_share(spark, d):
-    return rounded(C.credit_share(M.pub2ref(spark, d), M.author2pub(spark, d)), "CreditShare")
+    return rounded(nudged(C.credit_share(M.pub2ref(spark, d), M.author2pub(spark, d)), "CreditShare"), "CreditShare")
 
 
 @query(""", k AS (SELECT PublicationId AS p, AuthorId, count(*) OVER (PARTITION BY PublicationId) AS n FROM a2p), w AS (SELECT x.b AS f, y.b AS p, x.cy, count(*) AS s FROM ey x JOIN e y ON x.a = y.a GROUP BY 1, 2, 3),
@@ -541,23 +546,23 @@ g AS (SELECT DISTINCT b AS f, cy, m.AuthorId FROM ey JOIN a2p m ON m.Publication
 SELECT f AS PublicationId, AuthorId, cy AS CitingYear, round(raw / sum(raw) OVER (PARTITION BY f, cy) + 1e-9, 6) AS CreditShare FROM c""")
 def credit_share_temporal(spark, d):
     out = C.credit_share(M.dated_refs(spark, d), M.author2pub(spark, d), year="CitingYear")
-    return rounded(out.withColumn("CreditShare", F.col("CreditShare") + 1e-9), "CreditShare")  # shares like 19/128 lie between two roundings
+    return rounded(nudged(out, "CreditShare"), "CreditShare")
 
 
 BEAUTY = """, n AS (SELECT b, cy, count(*) AS n FROM ey GROUP BY 1, 2), sp AS (SELECT b, min(cy) AS y0, max(cy) AS y1 FROM n GROUP BY 1), u AS (SELECT b, y0, unnest(range(y0, y1 + 1)) AS y FROM sp),
 fl AS (SELECT u.b, u.y, u.y - y0 AS t, {} AS c FROM u LEFT JOIN n ON n.b = u.b AND n.cy = u.y), tp AS (SELECT b, max(c) AS cm, min_by(t, -c * 100000 + t) AS tm, min_by(c, t) AS c0 FROM fl GROUP BY 1),
 x AS (SELECT fl.*, cm, tm, c0, (cm - c0) * t / nullif(tm, 0) + c0 AS l, abs((cm - c0) * t - tm * c + tm * c0) AS far FROM fl JOIN tp USING (b) WHERE t <= tm)
-SELECT b AS PublicationId, round(sum((l - c) / greatest(1, c)), 6) AS BeautyCoefficient, CAST(min_by(y, -far * 100000 + t) AS INTEGER) AS Awakening FROM x GROUP BY 1"""
+SELECT b AS PublicationId, round(sum((l - c) / greatest(1, c)) + 1e-9, 6) AS BeautyCoefficient, CAST(min_by(y, -far * 100000 + t) AS INTEGER) AS Awakening FROM x GROUP BY 1"""
 
 
 @query(BEAUTY.format("coalesce(n, 0)"))
 def sleeping_beauty_paper(spark, d):
-    return rounded(C.publication_beauty(M.dated_refs(spark, d)), "BeautyCoefficient")
+    return rounded(nudged(C.publication_beauty(M.dated_refs(spark, d)), "BeautyCoefficient"), "BeautyCoefficient")
 
 
 @query(BEAUTY.format("greatest(coalesce(n, 0), 1)"))
 def sleeping_beauty_reference(spark, d):
-    return rounded(C.publication_beauty(M.dated_refs(spark, d), "reference"), "BeautyCoefficient")
+    return rounded(nudged(C.publication_beauty(M.dated_refs(spark, d), "reference"), "BeautyCoefficient"), "BeautyCoefficient")
 
 
 PIVOT = """, r AS (SELECT e.a, q.JournalId % 25 AS j FROM e JOIN pub q ON q.PublicationId = e.b), v AS (SELECT a, j, count(*) AS n FROM r GROUP BY 1, 2), sq AS (SELECT a.AuthorId, p.PublicationId, p.Year, row_number() OVER (PARTITION BY a.AuthorId ORDER BY p.Year, p.PublicationId) AS i FROM (SELECT DISTINCT l_partkey AS AuthorId, l_orderkey AS PublicationId FROM lineitem WHERE l_partkey < 200) a JOIN pub p USING (PublicationId)),
