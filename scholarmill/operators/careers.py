@@ -130,7 +130,7 @@ def _fit_longterm(t: np.ndarray) -> tuple[float, float, float]:
             return np.nan_to_num(predicted_citations(t, *p) - y, nan=1e9, posinf=1e9, neginf=-1e9)
 
     r = error(p)
-    for _ in range(200):
+    for _ in range(80):
         jac = np.stack([(error(p + h) - r) / h[k] for k, h in enumerate(np.eye(3) * 1e-6)], 1)
         a = jac.T @ jac
         step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -jac.T @ r, rcond=None)[0]
