@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scholarmill.llm import signatures as S
-from scholarmill.llm.linededup import _gathered
+from scholarmill.llm.linededup import _gathered, halves, joined_parts
 from scholarmill.operators.components import connected_components
 from scholarmill.session import cut_lineage
 
@@ -21,7 +21,7 @@ NEAR, MIN_JACCARD = 28, 0.75
 RECALL = 0.95
 #: Signatures in a node that are compared at once, and how many bits further a sparse branch may be climbed.
 NODE, CLIMB = 256, 3
-#: Documents to be fetched that are broadcast at most; bytes of text of a candidate group that one task verifies.
+#: Documents to be fetched that are broadcast at most; bytes of text of a candidate group that are verified at once at most, of larger groups each pair of parts of half this size.
 BROADCAST_ROWS, PART_BYTES = 500_000, 64_000_000
 
 
@@ -137,7 +137,7 @@ def _verified(pieces: pd.DataFrame, near: int, least: float) -> pd.DataFrame:
     parent = np.arange(len(ids))
     for a, b in S.reachable(sig, near, accept):
         parent[b] = parent[a]
-    return pd.DataFrame({"id": ids, "root": ids[parent]})
+    return pd.DataFrame({"id": ids, "root": ids[parent], "split": pieces["split"].to_numpy()})
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int = NEAR, least: float = MIN_JACCARD) -> DataFrame:
@@ -170,11 +170,9 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: i
     wanted = cut_lineage(distinct.join(member, "id").join(sizes, "component").select("key", F.col("id").alias("mark"), "s0", "s1", "component", "bytes"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     found = d.select("key", "mark", "text").join(side, ["key", "mark"])
-    # The first document of a group of several parts goes with each of them, so that what is near it has one root.
-    parts = F.ceil(F.col("bytes") / PART_BYTES).cast("int")
-    part = F.when(F.col("mark") == F.col("component"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("mark"), parts).cast("int")))
-    found = found.select("component", F.explode(part).alias("part"), F.col("mark").alias("id"), "s0", "s1", "text")
-    groups = found.groupBy("component", "part").applyInPandas(lambda pdf: _verified(pdf, near, least), "id long, root long").distinct()
+    found = found.select("component", *halves(F.col("bytes"), PART_BYTES, F.col("mark")), F.col("mark").alias("id"), "s0", "s1", "text")
+    groups = found.groupBy("component", "part", "split").applyInPandas(lambda pdf: _verified(pdf, near, least), "id long, root long, split boolean")
+    groups = joined_parts(groups, "id", not sizes.where(F.col("bytes") > PART_BYTES).isEmpty())
     grouped = signed.select("key", "mark").distinct().join(groups, F.col("mark") == F.col("id"), "left").select("key", "mark", F.coalesce("root", "mark").alias("group"))
     grouped = cut_lineage(grouped)
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")

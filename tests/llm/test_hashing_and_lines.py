@@ -163,3 +163,18 @@ def test_lines_edges(spark):
     assert linededup.duplicate_lines(empty).collect() == [] and linededup.dedup_lines(empty).collect() == []
     nokey = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert linededup.dedup_lines(nokey).count() == df.count()
+
+
+def test_lines_of_groups_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = []
+    for _ in range(8):
+        w = words(rng, 40)
+        for _ in range(12):
+            v = list(w)
+            v[rng.randrange(40)] = words(rng, 1)[0]
+            lines.append(" ".join(v))
+    df = docs_of(spark, lines)
+    want = sorted(map(tuple, linededup.duplicate_lines(df).collect()))
+    monkeypatch.setattr(linededup, "PART", 4)
+    assert sorted(map(tuple, linededup.duplicate_lines(df).collect())) == want and len(want) >= 80

@@ -67,6 +67,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(root(i) == root(j) and j not in got for i, j in got.items())
 
 
+def test_near_duplicates_of_groups_in_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(6):
+        w = words(rng, 120)
+        texts += [" ".join(edited(rng, w, 0.05)) for _ in range(10)]
+    df = docs_of(spark, texts)
+    want = sorted(map(tuple, neardup.duplicates(df).collect()))
+    monkeypatch.setattr(neardup, "PART_BYTES", 2000)
+    assert sorted(map(tuple, neardup.duplicates(df).collect())) == want and len(want) >= 50
+
+
 def test_forest_plan_reaches_its_recall():
     for n in (10, 10_000, 10**7, 10**9):
         trees, depth, deepest = neardup.plan_forest(n)
