@@ -17,7 +17,7 @@ CAPACITY = 8192
 #: Rows packed together, islands of such a group, individuals of an island.
 GROUP_ROWS, ISLANDS, POPULATION = 2048, 3, 6
 #: Items of a bin at most for which pairs are tried when a loose item may take their place.
-PAIRS = 24
+PAIRS = 10
 #: Rounds of evolution with a migration after each, and generations of a round.
 ROUNDS, GENERATIONS = 3, 8
 
@@ -54,28 +54,29 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 def settle(sizes: np.ndarray, loose: list[int], bins: list[list[int]], capacity: int) -> None:
     """Put loose items into bins, to which new ones are added: where one fills a bin better than one or two of its items, it takes their place, and they are loose instead; the rest is best-fitted."""
+    import bisect
+
     rooms = [capacity - sum(int(sizes[i]) for i in x) for x in bins]
-    loose = sorted(loose, key=lambda i: (-sizes[i], i))
+    rest = sorted((int(sizes[i]), i) for i in loose)
     for b, x in enumerate(bins):
-        if not loose or rooms[b] == 0:
+        room = rooms[b]
+        if not rest or not room:
             continue
-        options = [(int(sizes[i]), (i,)) for i in x] + ([(int(sizes[i]) + int(sizes[j]), (i, j)) for k, i in enumerate(x) for j in x[:k]] if len(x) <= PAIRS else [])
-        best = (0, None, None)
-        for new in loose:
-            size = int(sizes[new])
-            for old, out in options:
-                if best[0] < size - old <= rooms[b]:
-                    best = (size - old, new, out)
-            if best[0] == rooms[b]:
-                break
-        if best[0]:
-            gain, new, out = best
-            bins[b] = [i for i in x if i not in out] + [new]
+        own = [(int(sizes[i]), i) for i in x]
+        options = [(n, (i,)) for n, i in own] + ([(n + m, (i, j)) for k, (n, i) in enumerate(own) for m, j in own[:k]] if len(x) <= PAIRS else [])
+        gain, at, out = 0, -1, ()
+        for old, items in options:
+            k = bisect.bisect_left(rest, (old + room + 1, -1)) - 1  # the longest that fits
+            if k >= 0 and rest[k][0] - old > gain:
+                gain, at, out = rest[k][0] - old, k, items
+                if gain == room:
+                    break
+        if gain:
+            bins[b] = [i for i in x if i not in out] + [rest.pop(at)[1]]
             rooms[b] -= gain
-            loose.remove(new)
-            loose += out
-            loose.sort(key=lambda i: (-sizes[i], i))
-    best_fit(sizes, loose, bins, rooms, capacity)
+            for i in out:
+                bisect.insort(rest, (int(sizes[i]), i))
+    best_fit(sizes, [i for _, i in rest], bins, rooms, capacity)
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[int]]:
@@ -250,7 +251,9 @@ def _evolved(state: DataFrame, capacity: int, number: int) -> DataFrame:
                 pdf.at[at, "done"] = len(population[0]) <= lower_bound(sizes, capacity)
             yield pdf
 
-    evolved = state.select("group", "island", "lengths", "population", "bins", "done").mapInPandas(run, "group long, island int, lengths binary, population binary, bins int, done boolean")
+    # Few bytes but much work: islands are spread over all tasks, or small files would be read by one.
+    tasks = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    evolved = state.select("group", "island", "lengths", "population", "bins", "done").repartition(tasks, "group", "island").mapInPandas(run, "group long, island int, lengths binary, population binary, bins int, done boolean")
     return evolved.join(state.select("group", "island", "keys"), ["group", "island"])
 
 
