@@ -13,6 +13,8 @@ from scholarmill.llm import kernels as K
 MIN_BYTES = 4
 #: Rows that are hashed at once; small enough for the processor's cache.
 CHUNK = 512
+#: Lines of at most SHORT bytes of words and single spaces have their letters as features; those of at least BOTH have their words; near lines have one kind in common.
+SHORT, BOTH = 160, 128
 
 
 def _content(start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -45,11 +47,34 @@ def text_signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, offsets, bytes): the set of runs of two and of three bytes of each line's words with single spaces between and around, none for lines of more than SHORT bytes."""
+    bytes_ = np.diff(np.concatenate([[0], np.cumsum(end - start + 1)])[first]) - 1
+    words = np.where(bytes_ <= SHORT, np.diff(first), 0)
+    some = np.repeat(bytes_ <= SHORT, np.diff(first))
+    start, length = start[some], (end - start)[some]
+    at = np.concatenate([[0], np.cumsum(length + 1)])
+    before = np.repeat(np.cumsum(length) - length, length)
+    i = np.arange(len(before))
+    text = np.full(at[-1] + 2, 32, np.uint64)
+    text[1 + np.repeat(at[:-1], length) + i - before] = data[np.repeat(start, length) + i - before]
+    size = np.diff(at[np.concatenate([[0], np.cumsum(words)])])
+    keep = np.ones(at[-1], bool)
+    keep[np.cumsum(size)[size > 0] - 1] = False
+    row = np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(24)
+    two = text[:-2] << np.uint64(8) | text[1:-1]
+    key = np.unique(np.concatenate([row | two, (row | two << np.uint64(8) | text[2:])[keep]]))
+    offsets = np.searchsorted(key >> np.uint64(24), np.arange(len(first), dtype=np.uint64))
+    return K.mix(key & np.uint64((1 << 24) - 1)), offsets, bytes_
+
+
 def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
-    """For each line with a word: row, its number in the row, hash of its words, and two longs of SimHash.
+    """For each line with a word: row, its number in the row, hash of its words, kind, and two longs of SimHash.
 
     The normalised form of a line is its words in lower case, so white space
-    and punctuation make no difference.
+    and punctuation make no difference. Features are words for kind 0 and runs
+    of two and three bytes for kinds 1 and 2, as an edit changes much of a short line's
+    words. Lines of BOTH to SHORT bytes come twice, as kinds 0 and 2.
     """
     out = []
     for at in range(0, len(column), CHUNK):
@@ -66,9 +91,15 @@ def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
         keep = _content(start, end, first)
         ends = np.concatenate([[0], np.cumsum(keep)])[first]
         a, b = _two(hashes[keep], ends)
+        grams, ends, size = _letters(data, start, end, first)
+        c, d = _two(grams, ends)
         some = np.diff(first) > 0
-        out.append((line_row[some] + at, number[some], whole[some], a[some], b[some]))
-    names = ("row", "number", "hash", "s0", "s1")
+        long = np.flatnonzero(some & (size >= BOTH))
+        short = np.flatnonzero(some & (size <= SHORT))
+        which = np.concatenate([long, short])
+        kind = np.concatenate([np.zeros(len(long), np.int8), np.where(size[short] >= BOTH, 2, 1).astype(np.int8)])
+        out.append((line_row[which] + at, number[which], whole[which], kind, np.concatenate([a[long], c[short]]), np.concatenate([b[long], d[short]])))
+    names = ("row", "number", "hash", "kind", "s0", "s1")
     return dict(zip(names, (np.concatenate(x) for x in zip(*out)))) if out else {n: np.zeros(0, np.int64) for n in names}
 
 

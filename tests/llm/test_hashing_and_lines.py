@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholarmill.llm import linededup, quality, sharding
+from scholarmill.llm import linededup, quality, sharding, signatures
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -148,6 +148,33 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("least_words,most_words", [(3, 5), (6, 12), (13, 20)])
+def test_short_lines_with_edits_in_several_words(spark, least_words, most_words):
+    rng = random.Random(least_words)
+    lines = []
+    for _ in range(150):
+        w = words(rng, rng.randint(least_words, most_words))
+        v = list(w)
+        for i in rng.sample(range(len(v)), min(len(v), 4, max(1, len(" ".join(w)) // 20))):
+            at = rng.randrange(len(v[i]))
+            v[i] = v[i][:at] + rng.choice("xyz") + v[i][at + 1 :]
+        lines += [" ".join(w), " ".join(v)]
+    pairs = [i for i in range(0, len(lines), 2) if plain_distance(lines[i], lines[i + 1]) <= 0.1 * max(map(len, lines[i : i + 2]))]
+    got = {(r.doc_id, r.kept_doc_id) for r in linededup.duplicate_lines(docs_of(spark, lines)).collect()}
+    assert got <= {(i + 1, i) for i in pairs}
+    assert len(pairs) > 100 and len(got) >= 0.9 * len(pairs)
+
+
+def test_lines_between_short_and_long_are_one_group(spark):
+    # Each is near the next one; the first has letters only, the last words only.
+    base = [x + "abcdefghijklmnopqr"[i] * 2 for i, x in enumerate(["abcdefg", "jklmnop"] * 9)]
+    lines = [" ".join(base[:n]) for n in range(12, 18)]
+    assert len(lines[0]) < signatures.BOTH and len(lines[-1]) > signatures.SHORT
+    assert all(plain_distance(a, b) <= 0.1 * len(b) for a, b in zip(lines, lines[1:]))
+    got = {(r.doc_id, r.kept_doc_id) for r in linededup.duplicate_lines(docs_of(spark, lines)).collect()}
+    assert got == {(i, 0) for i in range(1, len(lines))}
+
+
 def test_lines_edges(spark):
     line = "one two three four five six seven eight nine ten"
     texts = [line, line.upper() + "!", None, "", "...\n***", line + "\nsomething else that stays here", "solo"]
