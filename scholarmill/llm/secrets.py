@@ -94,13 +94,13 @@ RULES = (
     ("private_key", ("-----begin",), r"(?P<s>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)", _pem, True),
     ("aws_key_id", ("akia", "asia"), r"(?<![A-Za-z0-9])(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])", _aws, True),
     ("gitlab", ("glpat-",), r"(?<![A-Za-z0-9])(?P<s>glpat-[A-Za-z0-9_\-]{20})(?![A-Za-z0-9_\-])", None, False),
-    ("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<s>xox[baprs]-[0-9A-Za-z\-]{10,72})(?![A-Za-z0-9\-])", None, False),
-    ("stripe", ("sk_live_", "rk_live_"), r"(?<![A-Za-z0-9])(?P<s>[sr]k_live_[A-Za-z0-9]{16,99})(?![A-Za-z0-9])", None, False),
+    ("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<s>xox[baprs]-[0-9A-Za-z\-]{10,})(?![A-Za-z0-9\-])", None, False),
+    ("stripe", ("sk_live_", "rk_live_"), r"(?<![A-Za-z0-9])(?P<s>[sr]k_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])", None, False),
     ("google", ("aiza",), r"(?<![A-Za-z0-9])(?P<s>AIza[A-Za-z0-9_\-]{35})(?![A-Za-z0-9_\-])", None, False),
     (
         "assignment",
         ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "auth_key", "private_key", "bearer"),
-        r"(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth_key|private_key|bearer)[A-Za-z0-9_\-]{0,24}['\"]?(?:\s{0,4}(?:=|:=|:|=>)\s{0,4}|(?<=[Bb]earer)\s)['\"]?(?P<s>[A-Za-z0-9_\-./+=]{16,256})(?![A-Za-z0-9_\-./+=])",
+        r"(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth_key|private_key|bearer)[A-Za-z0-9_\-]{0,24}['\"]?(?:\s*(?:=>|:=|=|:)\s*|(?<=[Bb]earer)\s+)(?P<quote>['\"])?(?P<s>(?(quote)[^'\"\s]{16,}(?=(?P=quote))|(?!))|[A-Za-z0-9_\-./+=]{16,})",
         _generic,
         False,
     ),
@@ -144,7 +144,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ASCII letters; the expressions of a keyword's rules are tried only where
     it begins. Secrets with a checksum or a structure of their own (GitHub,
     npm, JWT, PEM, AWS key ids) are reported only if it holds, and are
-    `checked`; values assigned to a telling name need some entropy and a digit.
+    `checked`; values assigned to a telling name need 16 characters, some entropy and a
+    digit; quoted ones go to the closing quote and have no white space, others
+    consist of letters, digits and _-./+=.
     An assignment whose value holds a secret of another kind isn't reported
     again. Null and empty texts have none; repeated rows give repeated
     results, a null key a null. An empty table gives an empty result.

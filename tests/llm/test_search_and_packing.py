@@ -407,6 +407,15 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs_of(spark, [])).collect() == []
 
 
+def test_secrets_of_any_length_and_whole():
+    long = "".join(random.Random(1).choices(secrets._B62, k=300))
+    for text, kind, secret in (
+        (f"token={long}", "assignment", long), ("password = 'Abcdef12345678901!xyz9'", "assignment", "Abcdef12345678901!xyz9"), ("api_key" + " " * 9 + "=" + " " * 9 + long, "assignment", long),
+        ('secret: "Abcdef12345678901 and more', "assignment", "Abcdef12345678901"), ("xoxb-" + long, "slack", "xoxb-" + long), ("sk_live_" + long, "stripe", "sk_live_" + long),
+    ):
+        assert [x[2:4] for x in secrets.Scanner().scan(text, text.lower())] == [(kind, secret)], text
+
+
 def test_prefilter_loses_nothing(spark):
     """Expressions tried everywhere find what they find near keywords."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
