@@ -381,11 +381,15 @@ def largest_component(spark, d):
 NATIONS = ", ne AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey AND (s_nationkey * 7 + c_nationkey * 3) % 4 = 0 GROUP BY 1, 2)"
 
 
+def _trade(spark, d):
+    """Trade between nations, all of it."""
+    x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return x.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("weight"))
+
+
 def _nations(spark, d):
     """Trade between nations, thinned out."""
-    x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    x = x.where("s_nationkey <> c_nationkey AND (s_nationkey * 7 + c_nationkey * 3) % 4 = 0")
-    return x.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("weight"))
+    return _trade(spark, d).where("(src * 7 + dst * 3) % 4 = 0")
 
 
 def _loop_sql(step: str, rounds: int, first: str) -> str:
@@ -692,4 +696,4 @@ def career_topics(spark, d):
 
 @query()
 def node2vec_walks(spark, d):
-    return embedding.random_walks(_nations(spark, d), 3, 12, 0.5, 2.0).withColumn("path", F.array_join("path", ","))
+    return embedding.random_walks(_trade(spark, d), p=0.5, q=2.0).withColumn("path", F.array_join("path", ","))

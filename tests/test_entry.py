@@ -52,3 +52,9 @@ def test_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'impact' in q and not any(x.startswith('op') for x in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_walks_are_whole(spark):
+    rows = __spark_entry__.queries()["node2vec_walks"](spark, "/root/testdata/sf0.01").collect()
+    starts = {r.start for r in rows}
+    assert len(rows) == 10 * len(starts) and max(r.path.count(",") + 1 for r in rows) >= 80
