@@ -6,138 +6,87 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scholarmill.llm import signatures as S
-from scholarmill.llm.linededup import _gathered, halves, joined_parts
+from scholarmill.llm.candidates import candidate_edges, verified
 from scholarmill.operators.components import connected_components
 from scholarmill.session import cut_lineage
 
 #: Documents are near if their signatures differ in at most so many of 128 bits and the Jaccard similarity of their word sets is at least MIN_JACCARD.
 NEAR, MIN_JACCARD = 28, 0.75
-#: Recall of near pairs aimed at, their distances taken as evenly spread from 0 to NEAR.
-RECALL = 0.95
-#: Signatures in a node that are compared at once, and how many bits further a sparse branch may be climbed.
-NODE, CLIMB = 256, 3
-#: Documents to be fetched that are broadcast at most; bytes of text of a candidate group that are verified at once at most, of larger groups each pair of parts of half this size.
-BROADCAST_ROWS, PART_BYTES = 500_000, 64_000_000
+#: The chance at least that a pair of signatures that is NEAR apart is compared; nearer ones are compared more often, at any number of documents.
+RECALL = 0.9
+#: Signatures in a node that are compared at once, and bits beyond those of nodes of that size that a dense branch is descended at most.
+NODE, DEEPER = 256, 3
+#: Bytes of text of a candidate group that are checked at once at most.
+PART_BYTES = 32_000_000
 
 
-def recall(depth: int, trees: int, near: int = NEAR) -> float:
-    """Chance that a near pair shares the first `depth` bits in one of the trees, over even distances."""
-    x = np.arange(near + 1)[:, None]
-    i = np.arange(depth)[None, :]
-    same = np.prod(np.clip(1 - x / (128 - i), 0, 1), axis=1) if depth else np.ones(near + 1)
-    return float(np.mean(1 - (1 - same) ** trees))
-
-
-def plan_forest(n: int, target: float = RECALL, near: int = NEAR) -> tuple[int, int, int]:
-    """(trees, depth of the branches that are searched together, greatest depth) for n signatures.
-
-    At log2(n / NODE) bits a branch holds NODE signatures on average; there
-    are as many trees as reach the target recall at that depth. The greatest
-    depth is the deepest from which they still reach it.
-    """
-    depth = min(60, max(0, math.ceil(math.log2(max(1, n / NODE)))))
-    trees = next(t for t in range(1, 1000) if recall(depth, t, near) >= target)
-    deepest = depth
-    while deepest < 63 and recall(deepest + 1, trees, near) >= target:
-        deepest += 1
-    return trees, max(0, depth - CLIMB), deepest
-
-
-def paths(sig: np.ndarray, trees: int) -> np.ndarray:
-    """[trees, n] paths: the first 64 bits of each permuted signature, first bit highest."""
-    bits = np.unpackbits(sig.view(np.uint8).reshape(len(sig), 16), axis=1, bitorder="little")
-    rng = np.random.default_rng(11)
-    out = []
-    for _ in range(trees):
-        packed = np.ascontiguousarray(np.packbits(bits[:, rng.permutation(128)[:64]], axis=1))
-        out.append(packed.view(">u8").ravel().astype(np.uint64))
-    return np.array(out).reshape(trees, len(sig))
-
-
-def branch_edges(ids: np.ndarray, sig: np.ndarray, path: np.ndarray, depth: int, deepest: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among a branch whose paths share `depth` bits.
-
-    The branch is descended while a node holds more than NODE signatures, so
-    dense regions are searched by long prefixes and sparse ones by short ones;
-    below the greatest depth, whatever the node holds is searched whole.
-    """
-    ids, sig, path, a, b = S.collapsed(ids, sig, path)
-    stack = [(0, len(ids), depth)]
+def node_ranges(path: np.ndarray, deepest: int) -> list[tuple[int, int]]:
+    """Nodes (begin, end) of a tree over sorted paths of 64 bits: the branches are descended while they hold more than NODE, down to `deepest` bits."""
+    out, stack = [], [(0, len(path), 0)]
     while stack:
         lo, hi, d = stack.pop()
         if hi - lo < 2:
             continue
         if hi - lo <= NODE or d >= deepest:
-            order = np.argsort(ids[lo:hi], kind="stable") + lo
-            x, y = S.node_edges(ids[order], sig[order], near)
-            a.append(x)
-            b.append(y)
+            out.append((lo, hi))
             continue
-        bit = (path[lo:hi] >> np.uint64(63 - d)) & np.uint64(1)
-        mid = lo + int(np.searchsorted(bit, 1))
+        mid = lo + int(np.searchsorted((path[lo:hi] >> np.uint64(63 - d)) & np.uint64(1), 1))
         stack += [(lo, mid, d + 1), (mid, hi, d + 1)]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidate_edges(signatures: DataFrame, n: int, near: int = NEAR) -> DataFrame:
-    """Edges (src, dst) among (id, s0, s1); id is a long."""
-    trees, depth, deepest = plan_forest(n, near=near)
-    record = np.dtype([("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, 200_000):
-            rec = np.empty(batch.num_rows, record)
-            for name, column in zip(("id", "s0", "s1"), batch.columns):
-                rec[name] = column.to_numpy().view(record[name])
-            key, payload = [], []
-            for tree, path in enumerate(paths(np.stack([rec["s0"], rec["s1"]], 1), trees)):
-                branch = path >> np.uint64(64 - depth) if depth else np.zeros_like(path)
-                order = np.argsort(branch, kind="stable")
-                for piece in np.split(order, np.flatnonzero(np.diff(branch[order])) + 1) if len(order) else []:
-                    key.append((tree << depth) + int(branch[piece[0]]))
-                    payload.append(rec[piece].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(payload, pa.binary())], ["branch", "payload"])
-
-    def search(batch: pa.Table) -> pa.Table:
-        rec = np.frombuffer(b"".join(batch["payload"].to_pylist()), record)
-        tree = batch["branch"][0].as_py() >> depth
-        sig = np.stack([rec["s0"], rec["s1"]], 1)
-        a, b = branch_edges(rec["id"], sig, paths(sig, tree + 1)[tree], depth, deepest, near)
-        return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
-
-    packed = signatures.select("id", "s0", "s1").mapInArrow(send, "branch long, payload binary")
-    return packed.groupBy("branch").applyInArrow(search, "src long, dst long").distinct()
-
-
-def _verified(pieces: pd.DataFrame, near: int, least: float) -> pd.DataFrame:
-    """Groups within a candidate group: (id, root), the root being the group's first document."""
-    pieces = pieces.sort_values("id").drop_duplicates("id")
-    ids = pieces["id"].to_numpy()
-    keys, start = S.word_sets(pa.array(pieces["text"], pa.large_string()))
+    return out
+
+
+def forest_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a group by an LSH forest: each pair that is `near` bits apart is found with the target chance, nearer ones more often, or connected through others.
+
+    Each tree has the signatures by the path of their bits in an order of its
+    own. A search climbs from long prefixes to shorter ones: as far as a node
+    holds NODE signatures in sparse regions, and in dense ones as far as the
+    target asks, for there are as many trees as reach it at the greatest
+    depth. Whatever such a node holds is compared.
+    """
+    ids, sig, *same = S.collapsed(ids, sig)
+    if len(ids) <= NODE:
+        x, y = S.node_edges(ids, sig, near)
+        return np.concatenate([same[0], x]), np.concatenate([same[1], y])
+    deepest = min(60, math.ceil(math.log2(len(ids) / NODE)) + DEEPER)
+    rows, edges = S.bit_rows(sig), [np.stack(same, 1)]
+    rng = np.random.default_rng(seed)
+    for _ in range(S.draws(S.agree(deepest, near), target)):
+        path = S.prefix(rows, rng.permutation(128), 64)
+        order = np.argsort(path, kind="stable")
+        for lo, hi in node_ranges(path[order], deepest):
+            own = order[lo:hi]
+            edges.append(np.stack(S.node_edges(ids[own], sig[own], near), 1))
+    return tuple(np.unique(np.concatenate(edges), axis=0).T)
+
+
+def near_texts(rows: pa.Table, near: int, least: float) -> np.ndarray:
+    """For each document of a candidate group, the position of the first one that it is connected with."""
+    keys, start = S.word_sets(rows["text"])
     keys = keys & np.uint64((1 << 44) - 1)
-    sig = pieces[["s0", "s1"]].to_numpy().view(np.uint64)
+    sig = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
     size = np.diff(start)
 
-    def accept(at: int, them: np.ndarray) -> np.ndarray:
+    def linked(at: int, them: np.ndarray) -> np.ndarray:
+        hit = S.distance(sig[them], sig[at]) <= near
+        them = them[hit]
         own = keys[start[at] : start[at + 1]]
         n = size[them]
-        where = np.repeat(start[them] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        other = keys[where]
+        other = keys[np.repeat(start[them] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         found = np.searchsorted(own, other)
-        both = np.append(own, 0)[found] == other
-        both &= found < len(own)
+        both = (np.append(own, 0)[found] == other) & (found < len(own))
         common = np.bincount(np.repeat(np.arange(len(them)), n), weights=both, minlength=len(them))
-        return common >= least * (len(own) + n - common) - 1e-9
+        hit[hit] = common >= least * (len(own) + n - common) - 1e-9
+        return hit
 
-    parent = np.arange(len(ids))
-    for a, b in S.reachable(sig, near, accept):
-        parent[b] = parent[a]
-    return pd.DataFrame({"id": ids, "root": ids[parent], "split": pieces["split"].to_numpy()})
+    root = np.arange(len(sig))
+    for a, b in S.reachable(len(sig), linked):
+        root[b] = root[a]
+    return root
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int = NEAR, least: float = MIN_JACCARD) -> DataFrame:
@@ -147,34 +96,37 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: i
     or more bytes, are at most `near` bits apart and the Jaccard similarity of
     their word sets is at least `least`; equal texts are near. What near pairs
     connect is one group, of which the document with the least (key, mark)
-    stays; mark is a fingerprint of the text. Candidates come from an LSH
-    forest with at least RECALL of the near pairs; up to its plan, no branch,
-    group or number of partners is cut off. The key must be an integer. Rows
+    stays; mark is a fingerprint of the text. A pair of signatures `near` bits
+    apart is compared with a chance of RECALL at least, nearer ones with a
+    greater one, however many documents there are; no branch, group or number
+    of partners is cut off. The key must be an integer, else TypeError. Rows
     with a null key, and null texts or ones without a word, are left alone, and
     so are rows that repeat in key and text (dedup() keeps one of these).
     """
-    d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.xxhash64(F.lit(1), text).alias("mark2"), F.octet_length(text).alias("n_bytes"), F.col(text).alias("text"))
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be an integer")
+    marks = [F.xxhash64(text).alias("mark"), F.xxhash64(F.lit(1), text).alias("mark2")]
+    d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), *marks, F.octet_length(text).cast("long").alias("weight"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s0, s1, n = S.text_signatures(batch.column(4))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["key", "mark", "mark2", "n_bytes", "s0", "s1"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64))], ["key", "mark", "mark2", "weight", "s0", "s1"])
             yield out.filter(pa.array(n > 0))
 
-    signed = cut_lineage(d.mapInArrow(sign, "key long, mark long, mark2 long, n_bytes int, s0 long, s1 long"))
-    # Equal texts are found by their fingerprints; one of each goes on, under mark as its id.
-    distinct = signed.groupBy("mark", "mark2").agg(F.min("key").alias("key"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("n_bytes").alias("n_bytes"))
-    distinct = cut_lineage(distinct.withColumnRenamed("mark", "id"))
-    member = cut_lineage(connected_components(candidate_edges(distinct, distinct.count(), near)).select(F.col("vertex").alias("id"), "component"))
-    sizes = member.join(distinct, "id").groupBy("component").agg(F.sum(F.col("n_bytes").cast("long")).alias("bytes"))
-    wanted = cut_lineage(distinct.join(member, "id").join(sizes, "component").select("key", F.col("id").alias("mark"), "s0", "s1", "component", "bytes"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    found = d.select("key", "mark", "text").join(side, ["key", "mark"])
-    found = found.select("component", *halves(F.col("bytes"), PART_BYTES, F.col("mark")), F.col("mark").alias("id"), "s0", "s1", "text")
-    groups = found.groupBy("component", "part", "split").applyInPandas(lambda pdf: _verified(pdf, near, least), "id long, root long, split boolean")
-    groups = joined_parts(groups, "id", not sizes.where(F.col("bytes") > PART_BYTES).isEmpty())
-    grouped = signed.select("key", "mark").distinct().join(groups, F.col("mark") == F.col("id"), "left").select("key", "mark", F.coalesce("root", "mark").alias("group"))
-    grouped = cut_lineage(grouped)
+    signed = cut_lineage(d.mapInArrow(sign, "key long, mark long, mark2 long, weight long, s0 long, s1 long"))
+    # Equal texts are found by fingerprints of 128 bits; one of each goes on, under a number.
+    distinct = signed.groupBy("mark", "mark2").agg(F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("s0", "s1", "weight")])
+    distinct = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("id"), "*"))
+    edges = candidate_edges(distinct, near, RECALL, 11, forest_edges)
+    member = cut_lineage(connected_components(edges).select(F.col("vertex").alias("id"), "component").join(distinct, "id"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return d.select("key", "mark", "mark2", "text").join(wanted.hint("shuffle_hash"), ["key", "mark", "mark2"]).select("component", "id", "weight", "s0", "s1", "text")
+
+    groups = verified(member, fetch, lambda rows: near_texts(rows, near, least), PART_BYTES)
+    roots = distinct.select("id", "mark", "mark2").join(groups.where("id <> root"), "id", "left").select("mark", "mark2", F.coalesce("root", "id").alias("group"))
+    grouped = cut_lineage(signed.select("key", "mark", "mark2").distinct().join(roots, ["mark", "mark2"]).select("key", "mark", "group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("key", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
     out = grouped.join(first, "group").where(F.struct("key", "mark") != F.col("first"))
     return out.select(F.col("key").alias(key), "mark", F.col("first.key").alias("duplicate_of"))
@@ -190,9 +142,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int =
     names = docs.columns
     mark = F.xxhash64(text)
     gone = cut_lineage(duplicates(docs.select(key, text), key, text, near, least).select(F.col(key).alias("gone_key"), F.col("mark").alias("gone_mark")))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col(key).alias("key"), mark.alias("mark"))
-    rows = rows.join(side, (F.col("key") == F.col("gone_key")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    rows = rows.join(gone.hint("shuffle_hash"), (F.col("key") == F.col("gone_key")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
     twice = cut_lineage(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("gone_key"), mark.alias("gone_mark")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if not twice.isEmpty():
         same = (F.col("key") == F.col("gone_key")) & (F.col("mark") == F.col("gone_mark"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +71,13 @@ def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.nda
 
 
 def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
-    """For each line with a word: row, its number in the row, hash of its words, kind, and two longs of SimHash.
+    """For each line with a word: row, its number in the row, 128 bits of hash of its words (h0, h1), and its SimHashes: w0 and w1 by words, c0 and c1 by letters.
 
     The normalised form of a line is its words in lower case, so white space
-    and punctuation make no difference. Features are words for kind 0 and runs
-    of two and three bytes for kinds 1 and 2, as an edit changes much of a short line's
-    words. Lines of BOTH to SHORT bytes come twice, as kinds 0 and 2.
+    and punctuation make no difference. Letters are runs of two and three
+    bytes, as an edit changes much of a short line's words. size is in bytes; has_words
+    and has_letters tell which a line has: words from BOTH bytes on, letters up to
+    SHORT bytes, and both in between.
     """
     out = []
     for at in range(0, len(column), CHUNK):
@@ -87,19 +90,17 @@ def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
         data = K.lowered(data)
         start, end, first = K.words(data, np.append(begin, len(data)))
         hashes = K.span_hashes(K.BYTE_CODE[data], start, end)
-        whole = K.span_hashes(hashes, first[:-1], first[1:])
-        keep = _content(start, end, first)
-        ends = np.concatenate([[0], np.cumsum(keep)])[first]
-        a, b = _two(hashes[keep], ends)
+        h0 = K.span_hashes(hashes, first[:-1], first[1:])
+        with np.errstate(over="ignore"):
+            h1 = K.span_hashes(K.mix(hashes + np.uint64(0xD6E8FEB86659FD93)), first[:-1], first[1:])
         grams, ends, size = _letters(data, start, end, first)
-        c, d = _two(grams, ends)
+        c0, c1 = _two(grams, ends)
         some = np.diff(first) > 0
-        long = np.flatnonzero(some & (size >= BOTH))
-        short = np.flatnonzero(some & (size <= SHORT))
-        which = np.concatenate([long, short])
-        kind = np.concatenate([np.zeros(len(long), np.int8), np.where(size[short] >= BOTH, 2, 1).astype(np.int8)])
-        out.append((line_row[which] + at, number[which], whole[which], kind, np.concatenate([a[long], c[short]]), np.concatenate([b[long], d[short]])))
-    names = ("row", "number", "hash", "kind", "s0", "s1")
+        long = some & (size >= BOTH)
+        keep = _content(start, end, first) & np.repeat(long, np.diff(first))
+        w0, w1 = _two(hashes[keep], np.concatenate([[0], np.cumsum(keep)])[first])
+        out.append([x[some] for x in (line_row + at, number, h0, h1, w0, w1, c0, c1, size, long, size <= SHORT)])
+    names = ("row", "number", "h0", "h1", "w0", "w1", "c0", "c1", "size", "has_words", "has_letters")
     return dict(zip(names, (np.concatenate(x) for x in zip(*out)))) if out else {n: np.zeros(0, np.int64) for n in names}
 
 
@@ -118,22 +119,23 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16) + np.bitwise_count(a[..., 1] ^ b[..., 1])
 
 
-def reachable(sig: np.ndarray, near: int, accept=None) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the graph of signatures at most `near` apart, as (parent, child).
+def near_among(sig: np.ndarray, near: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some signatures lie at most `near` from one, for reachable()."""
+    return lambda at, them: distance(sig[them], sig[at]) <= near
+
+
+def reachable(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a graph of n vertices, as (parent, child); near(vertex, candidates) tells which of these it is linked to.
 
     Breadth first: each vertex is compared with those not yet reached, which
     a dense group empties at once, so that n copies cost about n comparisons.
-    accept(vertex, candidates) may refuse some of the near ones.
     """
-    left = np.arange(len(sig))
+    left = np.arange(n)
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop(0)
-            hit = distance(sig[left], sig[at]) <= near
-            if hit.any() and accept is not None:
-                which = np.flatnonzero(hit)
-                hit[which] = accept(at, left[which])
+            hit = near(at, left)
             if hit.any():
                 found = left[hit]
                 left = left[~hit]
@@ -154,57 +156,153 @@ def node_edges(ids: np.ndarray, sig: np.ndarray, near: int) -> tuple[np.ndarray,
     """
     n = len(ids)
     if n <= MATRIX:
-        a, b = [], []
-        for at in range(0, n - 1, 256):
-            rows = np.arange(at, min(at + 256, n - 1))
-            hit = distance(sig[rows, None, :], sig[None, at + 1 :, :]) <= near
-            x, y = np.nonzero(hit)
-            x, y = x + at, y + at + 1
-            a.append(x[y > x])
-            b.append(y[y > x])
-        a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-        if len(a) <= 8 * n:
+        s0, s1 = np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])
+        a, b, found = [], [], 0
+        for at in range(0, n - 1, 64):
+            rows = min(64, n - 1 - at)
+            apart = np.bitwise_count(s0[at : at + rows, None] ^ s0[at + 1 :]) + np.bitwise_count(s1[at : at + rows, None] ^ s1[at + 1 :])
+            hit = np.flatnonzero(apart <= near)
+            x, y = hit // (n - 1 - at), hit % (n - 1 - at)
+            x, y = x[y >= x] + at, y[y >= x] + at + 1
+            a.append(x)
+            b.append(y)
+            found += len(x)
+            if found > 8 * n:
+                break
+        else:
+            a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
             return ids[a], ids[b]
-    pairs = np.array(list(reachable(sig, near)), np.int64).reshape(-1, 2)
+    pairs = np.array(list(reachable(n, near_among(sig, near))), np.int64).reshape(-1, 2)
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
 
-def collapsed(ids: np.ndarray, sig: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
-    """Of equal signatures, the least id stands for all: what is left by (value, id), and edges to it."""
-    order = np.lexsort((ids, sig[:, 1], sig[:, 0], value))
-    ids, sig, value = ids[order], sig[order], value[order]
+def collapsed(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal signatures, the least id stands for all: (ids, signatures) that are left, by id, and the edges to them."""
+    order = np.lexsort((ids, sig[:, 1], sig[:, 0]))
+    ids, sig = ids[order], sig[order]
     new = np.ones(len(ids), bool)
-    new[1:] = (sig[1:] != sig[:-1]).any(1) | (value[1:] != value[:-1])
+    new[1:] = (sig[1:] != sig[:-1]).any(1)
     lead = np.flatnonzero(new)
     head = ids[lead][np.cumsum(new) - 1]
-    a, b = [head[~new]], [ids[~new]]
-    ids, sig, value = ids[lead], sig[lead], value[lead]
-    order = np.lexsort((ids, value))
-    return ids[order], sig[order], value[order], a, b
+    a, b = head[~new], ids[~new]
+    lead = lead[np.argsort(ids[lead], kind="stable")]
+    return ids[lead], sig[lead], a, b
+
+
+def agree(width: int, apart: int) -> float:
+    """The chance that two signatures that differ in `apart` of 128 bits agree on `width` bits drawn at random."""
+    return float(np.prod(np.clip(1 - apart / (128 - np.arange(width)), 0, 1)))
+
+
+def draws(chance: float, target: float) -> int:
+    """How often something of that chance must be tried to happen with the target chance."""
+    return max(1, math.ceil(math.log(1 - target) / math.log1p(-chance))) if chance < 1 else 1
+
+
+#: Signatures of a group that one task searches, on average at most, and the chance that it finds a near pair of a group.
+GROUP, LOCAL = 1 << 18, 0.6
+
+
+class Plan(NamedTuple):
+    """Signatures meet in `tables` groupings, each by `width` bits; a group's own search finds a near pair with the chance `local`."""
+
+    width: int
+    tables: int
+    local: float
+
+    def recall(self, apart: int, near: int) -> float:
+        """The chance at least that a pair `apart` <= near bits apart is found; its group's search is planned for pairs that are `near` apart."""
+        return 1 - (1 - agree(self.width, apart) * self.local) ** self.tables
+
+
+def plan(n: int, near: int, target: float, group: int = GROUP) -> Plan:
+    """For n signatures: groups have `group` members at most on average, and there are as many tables as find a pair that is `near` bits apart with the target chance; nearer ones are found more often."""
+    width = max(0, math.ceil(math.log2(max(1, n / group))))
+    if not width:
+        return Plan(0, 1, target)
+    return Plan(width, draws(agree(width, near) * LOCAL, target), LOCAL)
+
+
+def orders(n: int, width: int, seed: int) -> np.ndarray:
+    """[n, 128] orders of the bits, whose first `width` are a block; the blocks of one permutation are disjoint, so that a pair with fewer differences than blocks agrees on one of them."""
+    rng, per, out = np.random.default_rng(seed), max(1, 128 // max(1, width)), []
+    while len(out) < n:
+        order = rng.permutation(128)
+        out += [np.roll(order, -i * width) for i in range(per)]
+    return np.array(out[:n])
+
+
+def bit_rows(sig: np.ndarray) -> np.ndarray:
+    """[128, n] bits of [n, 2] signatures."""
+    return np.ascontiguousarray(np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), 16), axis=1, bitorder="little").T)
+
+
+def prefix(rows: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """The first `width` bits, at most 64, of each signature in an order, the first one highest."""
+    out = np.zeros(rows.shape[1], np.uint16 if width <= 16 else np.uint32 if width <= 32 else np.uint64)
+    for i in order[:width]:
+        out <<= 1
+        out |= rows[i]
+    return out
 
 
 #: Runs of more signatures than this are searched as nodes, shorter ones by shifting.
 RUN = 64
+#: Work of a pass for each signature, and for each pair of a run, in parts of a microsecond.
+PASS, PAIR = 0.15, 0.015
 
 
-def run_edges(ids: np.ndarray, sig: np.ndarray, value: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+def run_edges(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, value: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges as of node_edges() within each run of signatures with equal block value."""
-    ids, sig, value, a, b = collapsed(ids, sig, value)
+    order = np.argsort(value, kind="stable")
+    value, s0, s1 = value[order], s0[order], s1[order]
     starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, int)
     length = np.diff(np.append(starts, len(value)))
-    for s, n in zip(starts[length > RUN], length[length > RUN]):
-        x, y = node_edges(ids[s : s + n], sig[s : s + n], near)
+    a, b = [order[:0]], [order[:0]]
+    for s, n in zip(starts[length > RUN].tolist(), length[length > RUN].tolist()):
+        x, y = node_edges(order[s : s + n], np.stack([s0[s : s + n], s1[s : s + n]], 1), near)
         a.append(x)
         b.append(y)
-    keep = np.repeat(length <= RUN, length)
-    ids, sig, value = ids[keep], sig[keep], value[keep]
-    for k in range(1, RUN):
-        if k >= len(ids):
-            break
-        same = value[k:] == value[:-k]
-        if not same.any():
+    # How many members of its run come behind a member; those of long runs are done.
+    behind = np.repeat(starts + length, length) - np.arange(len(value)) - 1
+    behind[np.repeat(length > RUN, length)] = 0
+    at, k = np.flatnonzero(behind), 1
+    while len(at):
+        other = at + k
+        apart = np.bitwise_count(s0.take(at) ^ s0.take(other)) + np.bitwise_count(s1.take(at) ^ s1.take(other))
+        hit = np.flatnonzero(apart <= near)
+        if len(hit):
+            a.append(order[at[hit]])
+            b.append(order[other[hit]])
+        k += 1
+        at = at[behind.take(at) >= k]
+    return ids[np.concatenate(a)], ids[np.concatenate(b)]
+
+
+def block_width(rows: np.ndarray, order: np.ndarray, near: int, target: float) -> int:
+    """The width of the blocks with which a group is searched with least work: narrow blocks take fewer passes, but have longer runs. The runs are those of one order, as bits may be unlike."""
+    n = rows.shape[1]
+    least, best = math.inf, 1
+    for width in range(max(1, math.ceil(math.log2(n / 32))), 33):
+        value = prefix(rows, order, width)
+        length = np.bincount(value) if width <= 20 else np.unique(value, return_counts=True)[1]
+        work = draws(agree(width, near), target) * (n * PASS + float((length * (length - 1.0)).sum() / 2) * PAIR)
+        if work > 1.2 * least:
             break
-        hit = np.flatnonzero(same & (distance(sig[k:], sig[:-k]) <= near))
-        a.append(ids[hit])
-        b.append(ids[hit + k])
-    return np.concatenate(a), np.concatenate(b)
+        if work < least:
+            least, best = work, width
+    return best
+
+
+def group_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a group: each pair that is `near` bits apart is found with the target chance, nearer ones more often, or connected through others; all in a group of up to MATRIX."""
+    ids, sig, *same = collapsed(ids, sig)
+    if len(ids) <= MATRIX:
+        x, y = node_edges(ids, sig, near)
+        return np.concatenate([same[0], x]), np.concatenate([same[1], y])
+    rows, edges = bit_rows(sig), [np.stack(same, 1)]
+    s0, s1 = np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])
+    width = block_width(rows, orders(1, 1, seed)[0], near, target)
+    for order in orders(draws(agree(width, near), target), width, seed):
+        edges.append(np.stack(run_edges(ids, s0, s1, prefix(rows, order, width), near), 1))
+    return tuple(np.unique(np.concatenate(edges), axis=0).T)

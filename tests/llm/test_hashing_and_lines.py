@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholarmill.llm import linededup, quality, sharding, signatures
+from scholarmill.llm import candidates, linededup, neardup, quality, sharding, signatures
+from scholarmill.operators.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -95,8 +97,6 @@ def plain_distance(a, b):
 
 
 def test_edit_similarity_is_exact():
-    import numpy as np
-
     rng = random.Random(3)
     for _ in range(100):
         base = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 14))]
@@ -111,6 +111,8 @@ def test_edit_similarity_is_exact():
         for i in range(len(texts)):
             want = [plain_distance(texts[i], t) <= 0.1 * max(len(texts[i]), len(t)) + 1e-9 for t in texts]
             assert s.near(i, np.arange(len(texts))).tolist() == want
+            assert [linededup.within(texts[i], t, 0.1 * max(len(texts[i]), len(t))) for t in texts] == want
+            assert all(linededup.within(texts[i], t, k) == (plain_distance(texts[i], t) <= k) for t in texts for k in (0, 1, 3, 9))
 
 
 def words(rng, n):
@@ -203,5 +205,71 @@ def test_lines_of_groups_in_parts(spark, monkeypatch):
             lines.append(" ".join(v))
     df = docs_of(spark, lines)
     want = sorted(map(tuple, linededup.duplicate_lines(df).collect()))
-    monkeypatch.setattr(linededup, "PART", 4)
+    monkeypatch.setattr(linededup, "PART_BYTES", 1500)
     assert sorted(map(tuple, linededup.duplicate_lines(df).collect())) == want and len(want) >= 80
+
+
+def test_plans_find_pairs_as_often_at_any_size():
+    for near in (linededup.NEAR, neardup.NEAR):
+        for n in (10, 10**6, 10**9, 10**12, 10**13):
+            plan = signatures.plan(n, near, 0.9)
+            assert n / 2**plan.width <= signatures.GROUP and all(plan.recall(d, near) >= 0.9 for d in range(near + 1))
+
+
+@pytest.mark.parametrize("search", [signatures.group_edges, neardup.forest_edges])
+def test_group_searches_reach_their_target(search, monkeypatch):
+    monkeypatch.setattr(signatures, "MATRIX", 100)
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2**63, (6000, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (6000, 2), dtype=np.uint64)
+    sig[3000:] = sig[:3000]
+    apart = rng.integers(0, 25, 3000)
+    for i, n in enumerate(apart):
+        for b in rng.choice(128, n, replace=False):
+            sig[3000 + i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b = search(np.arange(6000), sig, 24, 0.6, 5)
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    found = np.array([(i, i + 3000) in got for i in range(3000)])
+    assert found[apart >= 20].mean() > 0.5 and found[apart < 12].mean() > 0.8 and found[apart == 0].all()
+    assert all(signatures.distance(sig[x], sig[y]) <= 24 for x, y in got)
+
+
+def test_hot_groupings_are_cut_by_further_bits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    center = rng.integers(0, 2**62, 2, dtype=np.uint64)
+    sig = np.repeat(center[None], 900, 0)
+    sig[600:] = rng.integers(0, 2**62, (300, 2), dtype=np.uint64)
+    for i in range(600):
+        for b in rng.choice(64, 4, replace=False):
+            sig[i, 0] ^= np.uint64(1) << np.uint64(b)
+    df = spark.createDataFrame([(i, int(x.astype(np.int64)), int(y.astype(np.int64))) for i, (x, y) in enumerate(sig)], "id long, s0 long, s1 long")
+    want = {r.vertex for r in connected_components(candidates.candidate_edges(df, 20, 0.9, 1)).collect() if r.component < 600}
+    plan = signatures.plan
+    monkeypatch.setattr(signatures, "plan", lambda n, near, target: plan(n, near, target, 300))
+    monkeypatch.setattr(signatures, "GROUP", 50)
+    monkeypatch.setattr(candidates, "HOT", 200)
+    got = connected_components(candidates.candidate_edges(df, 20, 0.9, 1)).collect()
+    assert len(want) == 600 and len({r.vertex for r in got if r.vertex < 600}) >= 590 and len({r.component for r in got if r.vertex < 600}) <= 5
+
+
+def test_large_groups_are_checked_in_parts(spark):
+    """Numbers less than 10 apart are near; candidates are chains of them, also with gaps."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(4):
+        at = 0
+        for _ in range(120):
+            at += rng.choice([1, 2, 8, 9] if c else [0, 1]) + (30 if rng.random() < 0.03 else 0)
+            rows.append((c, 1000 * c + len(rows), 1, at))
+
+    def check(t):
+        x = t["value"].to_numpy()
+        root = np.arange(len(x))
+        for a, b in signatures.reachable(len(x), lambda i, them: abs(x[them] - x[i]) < 10):
+            root[b] = root[a]
+        return root
+
+    df = spark.createDataFrame(rows, "component long, id long, weight long, value long")
+    got = {r.id: r.root for r in candidates.verified(df, lambda m: m, check, 30).collect()}
+    whole = {r.id: r.root for r in candidates.verified(df, lambda m: m, check, 10**6).collect()}
+    assert got == whole and len(set(whole.values())) > 8
+    assert candidates.verified(df.limit(0), lambda m: m, check, 30).collect() == []

@@ -79,24 +79,6 @@ def test_near_duplicates_of_groups_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, neardup.duplicates(df).collect())) == want and len(want) >= 50
 
 
-def test_forest_plan_reaches_its_recall():
-    for n in (10, 10_000, 10**7, 10**9):
-        trees, depth, deepest = neardup.plan_forest(n)
-        assert neardup.recall(deepest, trees) >= neardup.RECALL and depth <= deepest
-
-
-def test_branches_find_all_near_pairs_of_a_branch():
-    rng = np.random.default_rng(2)
-    sig = rng.integers(0, 2**63, (600, 2), dtype=np.uint64)
-    sig[300:] = sig[:300]
-    for i in range(300, 600):
-        for b in rng.choice(64, 3, replace=False):
-            sig[i, 0] ^= np.uint64(1) << np.uint64(b)
-    ids = np.arange(600)
-    a, b = neardup.branch_edges(ids, sig, np.zeros(600, np.uint64), 60, 60, neardup.NEAR)
-    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} >= {(i, i + 300) for i in range(300)}
-
-
 def test_near_duplicate_edges(spark):
     t = " ".join(words(random.Random(4), 80))
     long = " ".join(words(random.Random(5), 200_000))
