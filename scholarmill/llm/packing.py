@@ -16,8 +16,6 @@ from scholarmill.session import cut_lineage
 CAPACITY = 8192
 #: Rows packed together, islands of such a group, individuals of an island.
 GROUP_ROWS, ISLANDS, POPULATION = 2048, 3, 6
-#: Items of a bin at most for which pairs are tried when a loose item may take their place.
-PAIRS = 10
 #: Rounds of evolution with a migration after each, and generations of a round.
 ROUNDS, GENERATIONS = 3, 8
 
@@ -63,7 +61,7 @@ def settle(sizes: np.ndarray, loose: list[int], bins: list[list[int]], capacity:
         if not rest or not room:
             continue
         own = [(int(sizes[i]), i) for i in x]
-        options = [(n, (i,)) for n, i in own] + ([(n + m, (i, j)) for k, (n, i) in enumerate(own) for m, j in own[:k]] if len(x) <= PAIRS else [])
+        options = [(n, (i,)) for n, i in own] + [(n + m, (i, j)) for k, (n, i) in enumerate(own) for m, j in own[:k]]
         gain, at, out = 0, -1, ()
         for old, items in options:
             k = bisect.bisect_left(rest, (old + room + 1, -1)) - 1  # the longest that fits
