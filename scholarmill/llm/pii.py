@@ -259,6 +259,16 @@ def train(labelled: DataFrame) -> Field:
     return Field().fit([list(r[0]) for r in rows], [list(r[1]) for r in rows])
 
 
+_FIELDS: list[Field] = []
+
+
+def default_field(spark: SparkSession) -> Field:
+    """The field fitted on labelled_table(), once in a driver."""
+    if not _FIELDS:
+        _FIELDS.append(train(labelled_table(spark)))
+    return _FIELDS[0]
+
+
 def _hot_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, first of a run) of each hot token; a run has hot tokens of one row with nothing but white space between."""
     where = np.flatnonzero(_HOT[data])
@@ -329,10 +339,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", field: Fi
     Only tokens with a digit, an @ or a + can be labelled, by constraint of
     the model, so its best path over a whole text is made of those over the
     runs of such tokens; no others are scored. Without a field, one is fitted
-    on labelled_table(). Null and empty texts have none; repeated rows give
+    on labelled_table(), once in a driver. Null and empty texts have none; repeated rows give
     repeated results, a null key a null. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table(docs.sparkSession)))
+    shared = docs.sparkSession.sparkContext.broadcast(field or default_field(docs.sparkSession))
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = d.select("key").schema.add("start", "long").add("end", "long").add("kind", "string").add("value", "string")
 

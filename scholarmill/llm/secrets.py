@@ -91,7 +91,7 @@ RULES = (
     ("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?<![A-Za-z0-9_])(?P<s>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_token, True),
     ("npm", ("npm_",), r"(?<![A-Za-z0-9_])(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_token, True),
     ("jwt", ("eyj",), r"(?<![A-Za-z0-9_\-.])(?P<s>eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9_\-])", _jwt, True),
-    ("private_key", ("-----begin",), r"(?P<s>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)", _pem, True),
+    ("private_key", ("-----begin",), r"(?P<s>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]|-(?!----))*+-----END (?:[A-Z]+ )?PRIVATE KEY-----)", _pem, True),
     ("aws_key_id", ("akia", "asia"), r"(?<![A-Za-z0-9])(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])", _aws, True),
     ("gitlab", ("glpat-",), r"(?<![A-Za-z0-9])(?P<s>glpat-[A-Za-z0-9_\-]{20})(?![A-Za-z0-9_\-])", None, False),
     ("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), r"(?<![A-Za-z0-9])(?P<s>xox[baprs]-[0-9A-Za-z\-]{10,})(?![A-Za-z0-9\-])", None, False),
@@ -124,10 +124,16 @@ class Scanner:
     def scan(self, text: str, low: str) -> list[tuple[int, int, str, str, bool]]:
         """(start, end, kind, secret, whether a checksum proved it); low is text in lower case, of the same length."""
         found: dict[tuple[int, int], tuple[str, str, bool]] = {}
+        # Where a rule's last match ends: a keyword inside of it begins no other one, and is passed in a step.
+        until = [0] * len(self.rules)
         for last, (length, numbers) in self.keywords.iter(low):
             for number in numbers:
                 kind, expression, test, checked = self.rules[number]
+                if last + 1 - length < until[number]:
+                    continue
                 m = expression.match(text, last + 1 - length)
+                if m and kind != "assignment":
+                    until[number] = m.end()
                 if m and (test is None or test(m["s"])):
                     span = m.span("s")
                     # One secret is reported once; a rule of its own goes before an assignment.
