@@ -378,20 +378,15 @@ def largest_component(spark, d):
     return N.largest_component(_nation_chains(spark, d))
 
 
-NATIONS = ", ne AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey AND (s_nationkey * 7 + c_nationkey * 3) % 4 = 0 GROUP BY 1, 2)"
+NATIONS = ", ne AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)"
 
 
 def _trade(spark, d):
-    """Trade between nations, all of it."""
+    """Trade between nations."""
     x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return x.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def _nations(spark, d):
-    """Trade between nations, thinned out."""
-    return _trade(spark, d).where("(src * 7 + dst * 3) % 4 = 0")
-
-
 def _loop_sql(step: str, rounds: int, first: str) -> str:
     parts, last = [], first
     for i in range(1, rounds + 1):
@@ -403,12 +398,12 @@ def _loop_sql(step: str, rounds: int, first: str) -> str:
 @query(NATIONS + """, sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS w FROM ne), vs AS MATERIALIZED (SELECT src AS v FROM ne UNION SELECT dst FROM ne), nn AS (SELECT count(*) AS n FROM vs),
 x0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / n AS x FROM vs, nn), """ + _loop_sql("SELECT vs.v, 0.85 * (coalesce(f.x, 0) + coalesce(l.x, 0) / n) + 0.15 / n AS x FROM vs CROSS JOIN nn LEFT JOIN (SELECT dst, sum(p.x * w) AS x FROM sh JOIN PREVIOUS p ON p.v = sh.src GROUP BY 1) f ON f.dst = vs.v CROSS JOIN (SELECT sum(x) AS x FROM PREVIOUS WHERE v NOT IN (SELECT src FROM ne)) l", 20, "x0") + " SELECT v AS vertex, round(x, 6) AS PageRank FROM x20")
 def pagerank(spark, d):
-    return rounded(graph.pagerank(_nations(spark, d), max_iter=20, tol=None), "PageRank")
+    return rounded(graph.pagerank(_trade(spark, d), max_iter=20, tol=None), "PageRank")
 
 
 @query(NATIONS + ", vs AS MATERIALIZED (SELECT src AS v FROM ne UNION SELECT dst FROM ne), x0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE / count(*) OVER () AS x FROM vs), " + _loop_sql("SELECT vs.v, coalesce(f.x, 0) / sqrt(sum(f.x * f.x) OVER ()) AS x FROM vs LEFT JOIN (SELECT dst, sum(p.x * weight) AS x FROM ne JOIN PREVIOUS p ON p.v = ne.src GROUP BY 1) f ON f.dst = vs.v", 20, "x0") + " SELECT v AS vertex, round(x, 6) AS Centrality FROM x20")
 def eigenvector_centrality(spark, d):
-    return rounded(graph.eigenvector(_nations(spark, d), 20, None), "Centrality")
+    return rounded(graph.eigenvector(_trade(spark, d), 20, None), "Centrality")
 
 
 @query(""", k AS (SELECT *, count(*) OVER (PARTITION BY PublicationId) AS n FROM a2p), ne AS MATERIALIZED (SELECT x.AuthorId AS src, y.AuthorId AS dst, sum(1.0::DOUBLE / (x.n * y.n)) AS weight FROM e JOIN k x ON x.PublicationId = e.a JOIN k y ON y.PublicationId = e.b GROUP BY 1, 2),
@@ -419,19 +414,19 @@ def diffusion_of_scientific_credit(spark, d):
 
 @query(NATIONS + " SELECT src, dst, weight, round((weight / sum(weight) OVER (PARTITION BY src)) / nullif(sum(weight) OVER (PARTITION BY dst) / nullif(sum(weight) OVER () - sum(weight) OVER (PARTITION BY src), 0), 0), 6) AS Normalised FROM ne")
 def schubert_glanzel(spark, d):
-    return rounded(N.schubert_glanzel(_nations(spark, d)), "Normalised")
+    return rounded(N.schubert_glanzel(_trade(spark, d)), "Normalised")
 
 
 @query(NATIONS + ", m AS (SELECT n_nationkey AS v, n_regionkey AS c FROM nation), z AS (SELECT c, count(*) AS n FROM m GROUP BY 1) SELECT a.c AS src_community, b.c AS dst_community, round(sum(weight) / (max(p.n) * max(q.n)), 6) AS Density FROM ne JOIN m a ON a.v = src JOIN m b ON b.v = dst JOIN z p ON p.c = a.c JOIN z q ON q.c = b.c GROUP BY 1, 2")
 def block_density(spark, d):
-    return rounded(N.block_density(_nations(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("vertex"), F.col("n_regionkey").alias("community"))), "Density")
+    return rounded(N.block_density(_trade(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("vertex"), F.col("n_regionkey").alias("community"))), "Density")
 
 
 @query(NATIONS + """, m AS (SELECT n_nationkey AS v, n_regionkey AS c FROM nation), b AS (SELECT src, dst, weight FROM ne UNION ALL SELECT dst, src, weight FROM ne), k AS (SELECT c, sum(weight) AS k FROM b JOIN m ON m.v = src GROUP BY 1),
 t AS (SELECT sum(k) AS m2, sum(k * k) AS k2, (SELECT sum(weight) FROM b JOIN m x ON x.v = src JOIN m y ON y.v = dst WHERE x.c = y.c) AS i FROM k), w AS (SELECT i / (k2 / m2) AS wi, (m2 - i) / (m2 - k2 / m2) AS wo FROM t)
 SELECT round(wi, 6) AS omega_in, round(wo, 6) AS omega_out, round((wi - wo) / (ln(wi) - ln(wo)), 6) AS gamma FROM w""")
 def estimate_resolution(spark, d):
-    return rounded(N.estimate_resolution(_nations(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("vertex"), F.col("n_regionkey").alias("community"))), "omega_in", "omega_out", "gamma")
+    return rounded(N.estimate_resolution(_trade(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("vertex"), F.col("n_regionkey").alias("community"))), "omega_in", "omega_out", "gamma")
 
 
 # Fields
@@ -524,15 +519,14 @@ def netnormcite(spark, d):
     return rounded(C.netnormcite(M.dated_refs(spark, d), 5), "Cnorm5")
 
 
-@query(""", j AS (SELECT PublicationId, Year, JournalId % 25 AS j FROM pub), rf AS (SELECT e.a, e.b, x.Year AS cy, y.Year AS py, y.j FROM e JOIN j x ON x.PublicationId = e.a JOIN j y ON y.PublicationId = e.b),
+@query(""", j AS (SELECT PublicationId, Year, JournalId AS j FROM pub), rf AS (SELECT e.a, e.b, x.Year AS cy, y.Year AS py, y.j FROM e JOIN j x ON x.PublicationId = e.a JOIN j y ON y.PublicationId = e.b),
 ev AS (SELECT x.cy, x.a, least(x.j, y.j) AS j1, greatest(x.j, y.j) AS j2 FROM rf x JOIN rf y ON x.cy = y.cy AND x.a = y.a AND x.b < y.b), ob AS (SELECT cy, j1, j2, count(*) AS n FROM ev GROUP BY 1, 2, 3),
-sm AS (SELECT unnest(range(1, 5)) AS s), mn AS (SELECT s, cy, py, a, b, j, row_number() OVER (PARTITION BY s, cy, py ORDER BY a, b) AS rn, row_number() OVER (PARTITION BY s, cy, py ORDER BY md5(concat(CAST(s AS VARCHAR), ':', CAST(a AS VARCHAR), ':', CAST(b AS VARCHAR))), a, b) AS rs FROM rf CROSS JOIN sm),
+sm AS (SELECT unnest(range(1, 11)) AS s), mn AS (SELECT s, cy, py, a, b, j, row_number() OVER (PARTITION BY s, cy, py ORDER BY a, b) AS rn, row_number() OVER (PARTITION BY s, cy, py ORDER BY md5(concat(CAST(s AS VARCHAR), ':', CAST(a AS VARCHAR), ':', CAST(b AS VARCHAR))), a, b) AS rs FROM rf CROSS JOIN sm),
 mx AS (SELECT x.s, x.cy, x.a, x.b, y.j FROM mn x JOIN mn y ON x.s = y.s AND x.cy = y.cy AND x.py = y.py AND x.rn = y.rs), np AS (SELECT x.s, x.cy, least(x.j, y.j) AS j1, greatest(x.j, y.j) AS j2, count(*) AS n FROM mx x JOIN mx y ON x.s = y.s AND x.cy = y.cy AND x.a = y.a AND x.b < y.b GROUP BY 1, 2, 3, 4),
-nl AS (SELECT cy, j1, j2, sum(n) / 4 AS m, sum(n * n) / 4 AS q FROM np GROUP BY 1, 2, 3), z AS (SELECT ob.cy, ob.j1, ob.j2, CASE WHEN q - m * m > 1e-12 THEN (n - m) / sqrt(q - m * m) END AS z FROM ob JOIN nl USING (cy, j1, j2))
+nl AS (SELECT cy, j1, j2, sum(n) / 10 AS m, sum(n * n) / 10 AS q FROM np GROUP BY 1, 2, 3), z AS (SELECT ob.cy, ob.j1, ob.j2, CASE WHEN q - m * m > 1e-12 THEN (n - m) / sqrt(q - m * m) END AS z FROM ob JOIN nl USING (cy, j1, j2))
 SELECT a AS PublicationId, round(quantile_cont(z, 0.1), 6) AS Novelty, round(quantile_cont(z, 0.5), 6) AS Conventionality FROM ev JOIN z USING (cy, j1, j2) GROUP BY 1""")
 def novelty_conventionality(spark, d):
-    pub = M.pub(spark, d).withColumn("JournalId", F.col("JournalId") % 25)
-    return rounded(C.novelty(pub, M.pub2ref(spark, d), 4), "Novelty", "Conventionality")
+    return rounded(C.novelty(M.pub(spark, d), M.pub2ref(spark, d)), "Novelty", "Conventionality")
 
 
 CREDIT = """, k AS (SELECT PublicationId AS p, AuthorId, count(*) OVER (PARTITION BY PublicationId) AS n FROM a2p), w AS (SELECT x.b AS f, y.b AS p, count(*) AS s FROM e x JOIN e y ON x.a = y.a GROUP BY 1, 2),
@@ -569,16 +563,15 @@ def sleeping_beauty_reference(spark, d):
     return rounded(nudged(C.publication_beauty(M.dated_refs(spark, d), "reference"), "BeautyCoefficient"), "BeautyCoefficient")
 
 
-PIVOT = """, r AS (SELECT e.a, q.JournalId % 25 AS j FROM e JOIN pub q ON q.PublicationId = e.b), v AS (SELECT a, j, count(*) AS n FROM r GROUP BY 1, 2), sq AS (SELECT a.AuthorId, p.PublicationId, p.Year, row_number() OVER (PARTITION BY a.AuthorId ORDER BY p.Year, p.PublicationId) AS i FROM (SELECT DISTINCT l_partkey AS AuthorId, l_orderkey AS PublicationId FROM lineitem WHERE l_partkey < 200) a JOIN pub p USING (PublicationId)),
+PIVOT = """, r AS (SELECT e.a, q.JournalId AS j FROM e JOIN pub q ON q.PublicationId = e.b), v AS (SELECT a, j, count(*) AS n FROM r GROUP BY 1, 2), sq AS (SELECT a.AuthorId, p.PublicationId, p.Year, row_number() OVER (PARTITION BY a.AuthorId ORDER BY p.Year, p.PublicationId) AS i FROM (SELECT DISTINCT l_partkey AS AuthorId, l_orderkey AS PublicationId FROM lineitem) a JOIN pub p USING (PublicationId)),
 w AS (SELECT sq.*, v.j, v.n FROM sq JOIN v ON v.a = sq.PublicationId), h AS (SELECT s.AuthorId, s.PublicationId, w.j, sum(w.n) AS n FROM sq s JOIN w ON w.AuthorId = s.AuthorId AND w.i < s.i {} GROUP BY 1, 2, 3), qb AS (SELECT AuthorId, PublicationId, sum(n * n) AS q FROM h GROUP BY 1, 2), qa AS (SELECT a, sum(n * n) AS q FROM v GROUP BY 1),
 dt AS (SELECT w.AuthorId, w.PublicationId, sum(w.n * h.n) AS d FROM w JOIN h ON h.AuthorId = w.AuthorId AND h.PublicationId = w.PublicationId AND h.j = w.j GROUP BY 1, 2)
 SELECT s.AuthorId, s.PublicationId, round(CASE WHEN qb.q IS NOT NULL AND qa.q IS NOT NULL THEN coalesce(d, 0) / sqrt(qa.q * qb.q) END, 6) AS PivotScore FROM sq s LEFT JOIN qb ON qb.AuthorId = s.AuthorId AND qb.PublicationId = s.PublicationId LEFT JOIN qa ON qa.a = s.PublicationId LEFT JOIN dt ON dt.AuthorId = s.AuthorId AND dt.PublicationId = s.PublicationId"""
-PIVOT = PIVOT.replace(" WHERE l_partkey < 200", "")
 
 
 def _pivot(spark, d, **options):
     author = table(spark, d, "lineitem").select(F.col("l_partkey").alias("AuthorId"), F.col("l_orderkey").alias("PublicationId")).distinct()
-    journal = M.pub(spark, d).select(F.col("PublicationId").alias("CitedPublicationId"), (F.col("JournalId") % 25).alias("CitedJournalId"))
+    journal = M.pub(spark, d).select(F.col("PublicationId").alias("CitedPublicationId"), F.col("JournalId").alias("CitedJournalId"))
     refs = M.pub2ref(spark, d).join(journal, "CitedPublicationId")
     return rounded(C.pivot_score(author.join(M.pub(spark, d).select("PublicationId", "Year"), "PublicationId"), refs, **options), "PivotScore")
 
