@@ -87,6 +87,28 @@ def test_line_quality_without_broadcast(spark, monkeypatch):
     assert sorted(map(str, quality.line_quality(df).collect())) == want and len(want) == 30
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_quality_leaves_one_of_near_copies(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", -1)
+    lines = [f"line {i} of a text that is copied with {'many ' * (i % 4)}changes" for i in range(12)]
+    near = ["\n".join(x if i != n % 12 else x + f" {n}" for i, x in enumerate(lines)) for n in range(60)]
+    own = [f"own line {i} with words {i * 7}\nand another one {i * 13} here" for i in range(30)]
+    got = {r.doc_id: r.text for r in quality.line_quality(docs_of(spark, [*near, near[0], *own], [None] * 91)).collect()}
+    assert {i for i in got if i > 60} == set(range(61, 91))
+    assert 1 <= len({t for i, t in got.items() if i <= 60}) <= 2 and all(t == near[min(i, 59) if i < 60 else 0] for i, t in got.items() if i <= 60)
+
+
+def test_line_quality_cuts_boilerplate_of_hosts_of_any_size(spark):
+    foot = "Released under the MIT license"
+    for host in (200, 9000):
+        texts = [f"own line {i} of a document with enough words of its own, such as {i * 7}" + ("\n" + foot + "\nok" if i < 60 else "") for i in range(host)]
+        got = quality.line_quality(docs_of(spark, texts))
+        assert got.count() == host and got.where(F.col("text").contains(foot)).count() == 0
+        # A short line is judged by its share only.
+        assert got.where(F.col("text").endswith("ok")).count() == (60 if host > 6000 else 0)
+
+
 def plain_distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
