@@ -17,7 +17,6 @@ from scholarmill.session import cut_lineage
 HOT, HOT_TARGET = 4 * S.GROUP, 0.95
 #: Texts that are checked in one call, on average.
 BUCKET = 2048
-RECORD = np.dtype([("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -34,11 +33,9 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 
 def _records(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(records, rows of bits) of a batch of (id, s0, s1)."""
-    rec = np.empty(batch.num_rows, RECORD)
-    for name, column in zip(RECORD.names, batch.columns):
-        rec[name] = column.to_numpy().view(RECORD[name])
-    return rec, S.bit_rows(np.stack([rec["s0"], rec["s1"]], 1))
+    """(records, rows of bits) of a batch of (id, s0, s1, ...), longs all."""
+    rec = np.stack([c.to_numpy() for c in batch.columns], 1)
+    return rec, S.bit_rows(rec[:, 1:3].view(np.uint64))
 
 
 def _pieces(value: np.ndarray) -> list[np.ndarray]:
@@ -50,15 +47,18 @@ def _pieces(value: np.ndarray) -> list[np.ndarray]:
 def candidate_edges(signatures: DataFrame, near: int, target: float, seed: int, search: Callable = S.group_edges) -> DataFrame:
     """Edges (src, dst) among (id, s0, s1), ids being distinct longs: each pair of signatures up to `near` bits apart is found with at least the target chance at any number of rows, or connected through others.
 
-    Equal signatures are linked first, and one of them goes on. As planned by
-    signatures.plan(), each is sent, 24 bytes, to one group for each table; a
+    Signatures with counts (k0, k1) are found only where these allow for
+    similarity, which loses no similar pair. Equal signatures are linked
+    first, and one of them goes on. As planned by signatures.plan(), each is
+    sent, 24 or 40 bytes, to one group for each table; a
     group is searched by one task. More than HOT signatures with the same bits
     are counted beforehand and grouped by further ones.
     """
-    every = signatures.select("id", "s0", "s1")
-    heads = cut_lineage(every.groupBy("s0", "s1").agg(F.min("id").alias("head"), F.count("*").alias("n")))
-    same = every.join(heads.where("n > 1"), ["s0", "s1"]).where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
-    distinct = heads.select(F.col("head").alias("id"), "s0", "s1")
+    parts = [c for c in ("s0", "s1", "k0", "k1") if c in signatures.columns]
+    every = signatures.select("id", *parts)
+    heads = cut_lineage(every.groupBy(*parts).agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    same = every.join(heads.where("n > 1"), parts).where("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
+    distinct = heads.select(F.col("head").alias("id"), *parts)
     n = distinct.count()
     plan = S.plan(n, near, target)
     orders = S.orders(plan.tables, plan.width, seed)
@@ -100,8 +100,8 @@ def candidate_edges(signatures: DataFrame, near: int, target: float, seed: int,
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(payload, pa.binary())], ["cell", "again", "value", "payload"])
 
     def found(group: pa.Table) -> pa.Table:
-        rec = np.frombuffer(b"".join(group["payload"].to_pylist()), RECORD)
-        a, b = search(rec["id"], np.stack([rec["s0"], rec["s1"]], 1), near, plan.local, [seed, group["cell"][0].as_py()])
+        rec = np.frombuffer(b"".join(group["payload"].to_pylist()), np.int64).reshape(-1, 1 + len(parts))
+        a, b = search(rec[:, 0].copy(), rec[:, 1:].copy().view(np.uint64), near, plan.local, [seed, group["cell"][0].as_py()])
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
     packed = distinct.mapInArrow(send, "cell long, again long, value long, payload binary")

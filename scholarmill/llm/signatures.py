@@ -70,12 +70,40 @@ def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.nda
     return K.mix(key & np.uint64((1 << 24) - 1)), offsets, bytes_
 
 
+#: Kinds of characters that counts() tells apart, by their first byte; the last one is the space.
+KINDS = 16
+_KIND = np.full(256, KINDS, np.int64)
+_KIND[:128], _KIND[192:] = np.arange(128) * 7 % (KINDS - 1), np.arange(64) % (KINDS - 1)
+_KIND[32] = KINDS - 1
+
+
+def counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters of each kind a line of words and single spaces has, up to 255, as bytes of two longs."""
+    n, words = len(first) - 1, np.diff(first)
+    length = end - start
+    row = np.repeat(np.repeat(np.arange(n), words), length)
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    kind = _KIND[data[at]]
+    lead = kind < KINDS
+    out = np.bincount(row[lead] * KINDS + kind[lead], minlength=n * KINDS).reshape(n, KINDS)
+    out[:, -1] = np.maximum(words - 1, 0)
+    return tuple(np.ascontiguousarray(np.minimum(out, 255).astype(np.uint8)).view(np.uint64).T)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs of counts() may belong to lines with at most `share` of the longer one's characters edited: an edit takes away one character at most and adds one at most. Holds where no count is 255."""
+    x, y = (np.ascontiguousarray(z).view(np.uint8).reshape(-1, KINDS).astype(np.int16) for z in (a, b))
+    diff = x - y
+    more, less = np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)
+    return np.maximum(more, less) <= share * np.maximum(x.sum(1), y.sum(1)) + 1e-9
+
+
 def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
     """For each line with a word: row, its number in the row, 128 bits of hash of its words (h0, h1), and its SimHashes: w0 and w1 by words, c0 and c1 by letters.
 
     The normalised form of a line is its words in lower case, so white space
     and punctuation make no difference. Letters are runs of two and three
-    bytes, as an edit changes much of a short line's words. size is in bytes; has_words
+    bytes, as an edit changes much of a short line's words. k0 and k1 are counts(). size is in bytes; has_words
     and has_letters tell which a line has: words from BOTH bytes on, letters up to
     SHORT bytes, and both in between.
     """
@@ -99,8 +127,8 @@ def line_signatures(column: pa.Array) -> dict[str, np.ndarray]:
         long = some & (size >= BOTH)
         keep = _content(start, end, first) & np.repeat(long, np.diff(first))
         w0, w1 = _two(hashes[keep], np.concatenate([[0], np.cumsum(keep)])[first])
-        out.append([x[some] for x in (line_row + at, number, h0, h1, w0, w1, c0, c1, size, long, size <= SHORT)])
-    names = ("row", "number", "h0", "h1", "w0", "w1", "c0", "c1", "size", "has_words", "has_letters")
+        out.append([x[some] for x in (line_row + at, number, h0, h1, w0, w1, c0, c1, *counts(data, start, end, first), size, long, size <= SHORT)])
+    names = ("row", "number", "h0", "h1", "w0", "w1", "c0", "c1", "k0", "k1", "size", "has_words", "has_letters")
     return dict(zip(names, (np.concatenate(x) for x in zip(*out)))) if out else {n: np.zeros(0, np.int64) for n in names}
 
 
@@ -119,9 +147,16 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16) + np.bitwise_count(a[..., 1] ^ b[..., 1])
 
 
-def near_among(sig: np.ndarray, near: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Which of some signatures lie at most `near` from one, for reachable()."""
-    return lambda at, them: distance(sig[them], sig[at]) <= near
+def near_among(sig: np.ndarray, near: int, share: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some signatures lie at most `near` from one, for reachable(); those with counts (k0, k1) behind the bits must allow for similarity too."""
+
+    def linked(at: int, them: np.ndarray) -> np.ndarray:
+        hit = distance(sig[them], sig[at]) <= near
+        if sig.shape[1] > 2 and hit.any():
+            hit[hit] = may_be_similar(sig[them[hit], 2:], sig[at : at + 1, 2:], share)
+        return hit
+
+    return linked
 
 
 def reachable(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -148,7 +183,7 @@ def reachable(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator
 MATRIX = 2048
 
 
-def node_edges(ids: np.ndarray, sig: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+def node_edges(ids: np.ndarray, sig: np.ndarray, near: int, share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all signatures that lie at most `near` apart, each directly or through others.
 
     Exact: every pair counts. Returns all near pairs, or a spanning forest of
@@ -164,6 +199,9 @@ def node_edges(ids: np.ndarray, sig: np.ndarray, near: int) -> tuple[np.ndarray,
             hit = np.flatnonzero(apart <= near)
             x, y = hit // (n - 1 - at), hit % (n - 1 - at)
             x, y = x[y >= x] + at, y[y >= x] + at + 1
+            if sig.shape[1] > 2 and len(x):
+                both = may_be_similar(sig[x, 2:], sig[y, 2:], share)
+                x, y = x[both], y[both]
             a.append(x)
             b.append(y)
             found += len(x)
@@ -172,13 +210,13 @@ def node_edges(ids: np.ndarray, sig: np.ndarray, near: int) -> tuple[np.ndarray,
         else:
             a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
             return ids[a], ids[b]
-    pairs = np.array(list(reachable(n, near_among(sig, near))), np.int64).reshape(-1, 2)
+    pairs = np.array(list(reachable(n, near_among(sig, near, share))), np.int64).reshape(-1, 2)
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
 
 def collapsed(ids: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of equal signatures, the least id stands for all: (ids, signatures) that are left, by id, and the edges to them."""
-    order = np.lexsort((ids, sig[:, 1], sig[:, 0]))
+    order = np.lexsort((ids, *sig.T[::-1]))
     ids, sig = ids[order], sig[order]
     new = np.ones(len(ids), bool)
     new[1:] = (sig[1:] != sig[:-1]).any(1)
@@ -252,15 +290,16 @@ RUN = 64
 PASS, PAIR = 0.15, 0.015
 
 
-def run_edges(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, value: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+def run_edges(ids: np.ndarray, sig: np.ndarray, value: np.ndarray, near: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges as of node_edges() within each run of signatures with equal block value."""
     order = np.argsort(value, kind="stable")
-    value, s0, s1 = value[order], s0[order], s1[order]
+    value, sig = value[order], sig[order]
+    s0, s1 = np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])
     starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, int)
     length = np.diff(np.append(starts, len(value)))
     a, b = [order[:0]], [order[:0]]
     for s, n in zip(starts[length > RUN].tolist(), length[length > RUN].tolist()):
-        x, y = node_edges(order[s : s + n], np.stack([s0[s : s + n], s1[s : s + n]], 1), near)
+        x, y = node_edges(order[s : s + n], sig[s : s + n], near, share)
         a.append(x)
         b.append(y)
     # How many members of its run come behind a member; those of long runs are done.
@@ -271,6 +310,8 @@ def run_edges(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, value: np.ndarray
         other = at + k
         apart = np.bitwise_count(s0.take(at) ^ s0.take(other)) + np.bitwise_count(s1.take(at) ^ s1.take(other))
         hit = np.flatnonzero(apart <= near)
+        if sig.shape[1] > 2 and len(hit):
+            hit = hit[may_be_similar(sig[at[hit], 2:], sig[other[hit], 2:], share)]
         if len(hit):
             a.append(order[at[hit]])
             b.append(order[other[hit]])
@@ -294,15 +335,14 @@ def block_width(rows: np.ndarray, order: np.ndarray, near: int, target: float) -
     return best
 
 
-def group_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a group: each pair that is `near` bits apart is found with the target chance, nearer ones more often, or connected through others; all in a group of up to MATRIX."""
+def group_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed: int, share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a group: each pair that is `near` bits apart is found with the target chance, nearer ones more often, or connected through others; all in a group of up to MATRIX. Signatures may have counts() behind their bits, which pairs must pass too."""
     ids, sig, *same = collapsed(ids, sig)
     if len(ids) <= MATRIX:
-        x, y = node_edges(ids, sig, near)
+        x, y = node_edges(ids, sig, near, share)
         return np.concatenate([same[0], x]), np.concatenate([same[1], y])
-    rows, edges = bit_rows(sig), [np.stack(same, 1)]
-    s0, s1 = np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])
+    rows, edges = bit_rows(sig[:, :2]), [np.stack(same, 1)]
     width = block_width(rows, orders(1, 1, seed)[0], near, target)
     for order in orders(draws(agree(width, near), target), width, seed):
-        edges.append(np.stack(run_edges(ids, s0, s1, prefix(rows, order, width), near), 1))
+        edges.append(np.stack(run_edges(ids, sig, prefix(rows, order, width), near, share), 1))
     return tuple(np.unique(np.concatenate(edges), axis=0).T)
