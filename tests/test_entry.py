@@ -31,7 +31,7 @@ def test_query_matches_its_sql(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     rows = [r.asDict() for r in got.collect()]
     if name not in __spark_entry__.oracle_sql():
-        return
+        pytest.skip("runs; has no SQL to compare with")
     cursor = duck.execute(__spark_entry__.oracle_sql()[name])
     columns = sorted(d[0] for d in cursor.description)
     at = {d[0]: i for i, d in enumerate(cursor.description)}
