@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholarmill.llm import candidates, linededup, neardup, quality, sharding, signatures
+from scholarmill.llm import candidates, grams, linededup, neardup, quality, sharding, signatures
 from scholarmill.operators.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -295,3 +295,49 @@ def test_large_groups_are_checked_in_parts(spark):
     whole = {r.id: r.root for r in candidates.verified(df, lambda m: m, check, 10**6).collect()}
     assert got == whole and len(set(whole.values())) > 8
     assert candidates.verified(df.limit(0), lambda m: m, check, 30).collect() == []
+
+
+def pairs_of_lines(rng, n, most_words, least_words=3):
+    """Lines and copies of these with as many edits as similar ones may have, at random places."""
+    out = []
+    for _ in range(n):
+        a = " ".join(words(rng, rng.randint(least_words, most_words)))
+        b = list(a)
+        for at in rng.sample(range(len(a)), int(0.1 * len(a))):
+            b[at] = rng.choice("xyz")
+        out += [a, "".join(b)]
+    return out
+
+
+def edges_of(spark, lines):
+    df = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(lines)], "id long, n long, line string")
+    return {(r.src, r.dst) for r in grams.similar_candidates(df, 0.9).collect()}
+
+
+def test_edits_anywhere_lose_no_pair(spark):
+    lines = pairs_of_lines(random.Random(21), 300, 60)
+    want = {(i, i + 1) for i in range(0, len(lines), 2) if len(lines[i]) >= 10}
+    got = {(r.kept_doc_id, r.doc_id) for r in linededup.duplicate_lines(docs_of(spark, lines)).collect()}
+    assert got == want and len(want) == 300
+
+
+def test_long_lines_of_large_tables_are_sampled(spark, monkeypatch):
+    lines = pairs_of_lines(random.Random(22), 300, 80)
+    monkeypatch.setattr(grams, "ALL", 0)
+    got = edges_of(spark, lines)
+    short = [i for i in range(0, len(lines), 2) if len(lines[i]) <= grams.EXACT]
+    long = [i for i in range(0, len(lines), 2) if len(lines[i]) > grams.EXACT]
+    assert short and all((i, i + 1) in got for i in short)
+    assert len(long) > 100 and sum((i, i + 1) in got for i in long) >= 0.97 * len(long)
+
+
+def test_keys_of_very_many_lines_lose_no_link(spark, monkeypatch):
+    rng = random.Random(23)
+    lines = pairs_of_lines(rng, 40, 40, 20)
+    lines = [x + " and this end is the same in all of the lines" for x in lines]
+    want = sorted(map(tuple, linededup.duplicate_lines(docs_of(spark, lines)).collect()))
+    monkeypatch.setattr(grams, "HOT_PAIRS", 50)
+    monkeypatch.setattr(grams, "HOT_LONG", 50)
+    for all_ in (grams.ALL, 0):
+        monkeypatch.setattr(grams, "ALL", all_)
+        assert sorted(map(tuple, linededup.duplicate_lines(docs_of(spark, lines)).collect())) == want and len(want) >= 40
