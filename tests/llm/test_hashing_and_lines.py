@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scholarmill.llm import candidates, grams, linededup, neardup, quality, sharding, signatures
 from scholarmill.operators.components import connected_components
+from scholarmill.session import cut_lineage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -341,3 +344,19 @@ def test_keys_of_very_many_lines_lose_no_link(spark, monkeypatch):
     for all_ in (grams.ALL, 0):
         monkeypatch.setattr(grams, "ALL", all_)
         assert sorted(map(tuple, linededup.duplicate_lines(docs_of(spark, lines)).collect())) == want and len(want) >= 40
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = set(shuffle_bytes(spark))
+    out = cut_lineage(spark.range(200_000).groupBy(F.xxhash64("id").alias("key")).agg(F.count("*").alias("n")))
+    for _ in range(50):  # they are removed in the background
+        if not set(shuffle_bytes(spark)) - before:
+            break
+        time.sleep(0.2)
+    assert not set(shuffle_bytes(spark)) - before
+    assert out.count() == 200_000
