@@ -360,3 +360,28 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not set(shuffle_bytes(spark)) - before
     assert out.count() == 200_000
+
+
+def test_pairs_of_one_key_take_little_memory():
+    rng = np.random.default_rng(24)
+    rec = np.zeros(2700, grams._LONG)
+    rec["n"], rec["pos"], rec["id"] = 1000, rng.permutation(2700) * 101 % 900_000, np.arange(2700)
+    monkey = grams.HOT_LONG
+    grams.HOT_LONG = 10**9
+    tracemalloc.start()
+    try:
+        edges = grams.shared_edges(rec, 0.9)
+    finally:
+        grams.HOT_LONG = monkey
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert len(edges) == 0 and peak < 150e6
+
+
+def test_runs_have_equal_hashes_wherever_they_stand():
+    codes = np.random.default_rng(25).integers(0, 3, 2000).astype("<u4")
+    for size in (1, 2, 10, 14, 15, 16, 17):
+        hashes, by = grams._run_hashes(codes, size), {}
+        for i in range(len(codes) - size + 1):
+            by.setdefault(codes[i : i + size].tobytes(), set()).add(int(hashes[i]))
+        assert len(hashes) == len(codes) - size + 1 and all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
