@@ -20,6 +20,8 @@ NEAR, MIN_JACCARD = 28, 0.75
 RECALL = 0.9
 #: Signatures in a node that are compared at once, and bits beyond those of nodes of that size that a dense branch is descended at most.
 NODE, DEEPER = 256, 3
+#: A group's trees are searched by one task for so many of its signatures.
+PART = 1 << 15
 #: Bytes of text of a candidate group that are checked at once at most.
 PART_BYTES = 32_000_000
 
@@ -39,24 +41,32 @@ def node_ranges(path: np.ndarray, deepest: int) -> list[tuple[int, int]]:
     return out
 
 
-def forest_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed) -> tuple[np.ndarray, np.ndarray]:
+def forest_edges(ids: np.ndarray, sig: np.ndarray, near: int, target: float, seed, share: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a group by an LSH forest: each pair that is `near` bits apart is found with the target chance, nearer ones more often, or connected through others.
 
     Each tree has the signatures by the path of their bits in an order of its
     own. A search climbs from long prefixes to shorter ones: as far as a node
     holds NODE signatures in sparse regions, and in dense ones as far as the
     target asks, for there are as many trees as reach it at the greatest
-    depth. Whatever such a node holds is compared.
+    depth. Whatever such a node holds is compared. share is (number, of how
+    many): of the trees, that one and each so many behind it are searched, and
+    all shares together find what one search finds.
     """
+    number, shares = share
     ids, sig, *same = S.collapsed(ids, sig)
+    if number:
+        same = [x[:0] for x in same]
     if len(ids) <= NODE:
+        if number:
+            return ids[:0], ids[:0]
         x, y = S.node_edges(ids, sig, near)
         return np.concatenate([same[0], x]), np.concatenate([same[1], y])
     deepest = min(60, math.ceil(math.log2(len(ids) / NODE)) + DEEPER)
     rows, edges = S.bit_rows(sig), [np.stack(same, 1)]
     rng = np.random.default_rng(seed)
-    for _ in range(S.draws(S.agree(deepest, near), target)):
-        path = S.prefix(rows, rng.permutation(128), 64)
+    trees = [rng.permutation(128) for _ in range(S.draws(S.agree(deepest, near), target))]
+    for bits in trees[number::shares]:
+        path = S.prefix(rows, bits, 64)
         order = np.argsort(path, kind="stable")
         for lo, hi in node_ranges(path[order], deepest):
             own = order[lo:hi]
@@ -118,7 +128,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: i
     # Equal texts are found by fingerprints of 128 bits; one of each goes on, under a number.
     distinct = signed.groupBy("mark", "mark2").agg(F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("s0", "s1", "weight")])
     distinct = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("id"), "*"))
-    edges = candidate_edges(distinct, near, RECALL, 11, forest_edges)
+    edges = candidate_edges(distinct, near, RECALL, 11, forest_edges, PART)
     member = cut_lineage(connected_components(edges).select(F.col("vertex").alias("id"), "component").join(distinct, "id"))
 
     def fetch(wanted: DataFrame) -> DataFrame:

@@ -385,3 +385,31 @@ def test_runs_have_equal_hashes_wherever_they_stand():
         for i in range(len(codes) - size + 1):
             by.setdefault(codes[i : i + size].tobytes(), set()).add(int(hashes[i]))
         assert len(hashes) == len(codes) - size + 1 and all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+def test_shares_of_a_forest_find_what_one_search_finds(spark):
+    rng = np.random.default_rng(26)
+    sig = rng.integers(0, 2**62, (3000, 2), dtype=np.uint64)
+    sig[1500:2990] = sig[:1490] ^ (np.uint64(1) << rng.integers(0, 60, (1490, 2)).astype(np.uint64))
+    sig[2990:] = sig[5]
+    pairs = lambda *share: set(zip(*(x.tolist() for x in neardup.forest_edges(np.arange(3000), sig, 28, 0.9, 5, *share))))
+    parts = [pairs((i, 4)) for i in range(4)]
+    assert set.union(*parts) == pairs() and len(pairs()) >= 1490 and all(len(x) < len(pairs()) for x in parts)
+    df = spark.createDataFrame([(i, int(x.astype(np.int64)), int(y.astype(np.int64))) for i, (x, y) in enumerate(sig)], "id long, s0 long, s1 long")
+    edges = lambda part: {(r.src, r.dst) for r in candidates.candidate_edges(df, 28, 0.9, 5, neardup.forest_edges, part).collect()}
+    assert edges(800) == edges(None)
+
+
+def test_the_search_of_one_group_is_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(27)
+    sig = rng.integers(0, 2**62, (2000, 2), dtype=np.uint64)
+    df = spark.createDataFrame([(i, int(x.astype(np.int64)), int(y.astype(np.int64))) for i, (x, y) in enumerate(sig)], "id long, s0 long, s1 long")
+    monkeypatch.setattr(neardup, "PART", 250)
+    calls = spark.sparkContext.accumulator(0)
+
+    def search(ids, sig, near, target, seed, *share):
+        calls.add(1)
+        return neardup.forest_edges(ids, sig, near, target, seed, *share)
+
+    candidates.candidate_edges(df, 28, 0.9, 5, search, neardup.PART).collect()
+    assert calls.value == 8
