@@ -413,3 +413,55 @@ def test_the_search_of_one_group_is_several_tasks(spark, monkeypatch):
 
     candidates.candidate_edges(df, 28, 0.9, 5, search, neardup.PART).collect()
     assert calls.value == 8
+
+
+def test_a_key_of_very_many_unlike_lines_takes_little_time(spark, monkeypatch):
+    rng = random.Random(25)
+    syllables = [a + b for a in "bdfglmnprst" for b in ("a", "en", "io", "ur")]
+
+    def line(n):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    lines = [line(150) + " the passage that stands in all of these lines " + line(5) for _ in range(1500)]
+    for i in range(0, 100, 2):
+        at = rng.randrange(50, 500)
+        lines[i + 1] = lines[i][:at] + "xyz" + lines[i][at + 3 :]
+    monkeypatch.setattr(grams, "ALL", 0)
+    monkeypatch.setattr(grams, "HOT_LONG", 1000)
+    began = time.time()
+    got = {(r.kept_doc_id, r.doc_id) for r in linededup.duplicate_lines(docs_of(spark, lines)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 100, 2)}
+    # Comparing letter by letter what counts of pairs of letters allow for takes several times as long.
+    alike = linededup.Similarity(lines[:200], 0.9)
+    x, y = np.triu_indices(200, 1)
+    may = (alike.bounds(x, y) <= 1).sum()
+    assert may < 200 and time.time() - began < 120
+
+
+def test_lines_of_one_key_meet_in_cells():
+    rng = np.random.default_rng(26)
+    rec = np.zeros(3000, grams._LONG)
+    rec["n"] = rng.integers(90, 2000, 3000)
+    rec["n"][:100], rec["n"][100:200] = np.arange(1, 101) * 10, np.arange(1, 101) * 9
+    rec["pos"], rec["id"] = rng.random(3000) * (rec["n"] - 15).clip(0), np.arange(3000)
+    cells, owns = [set() for _ in rec], [set() for _ in rec]
+    for i, cell in grams._crowd(rec, 0.9).tolist():
+        cells[i].add(cell // 2)
+        if cell % 2:
+            owns[i].add(cell // 2)
+    n, pos = rec["n"].astype(int), rec["pos"].astype(int)
+    x, y = np.triu_indices(3000, 1)
+    moved = pos[x] - pos[y]
+    fits = np.abs(moved) + np.abs(n[x] - n[y] - moved) <= grams.edits(np.maximum(n[x], n[y]), 0.9)
+    assert fits.sum() > 1000 and all(owns[i] & cells[j] or owns[j] & cells[i] for i, j in zip(x[fits].tolist(), y[fits].tolist()))
+
+
+def test_pairs_that_others_connect_are_not_compared(monkeypatch):
+    base = " ".join(words(random.Random(27), 40))
+    texts = [base[:i] + "#" + base[i + 1 :] for i in range(60)]
+    x, y = np.triu_indices(60, 1)
+    asked = []
+    whole = linededup.words_apart
+    monkeypatch.setattr(linededup, "words_apart", lambda *a: asked.append(1) or whole(*a))
+    got = linededup.similar_pairs(x, y, np.arange(60), texts, 0.9)
+    assert got.num_rows == 59 == len(asked)
