@@ -29,6 +29,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sparse_cosine(a: DataFrame, b: DataFrame, by: list[str], key: str, value: str, distance: bool = False) -> DataFrame:
     """(by, Cosine) of two tables of sparse vectors, one vector for each by; pairs of vectors without a common key have 0."""
+    a, b = (df.withColumn(value, F.col(value).cast("double")) for df in (a, b))  # products of whole numbers may not fit
     size = lambda df, n: df.groupBy(*by).agg(F.sum(F.col(value) * F.col(value)).alias(n))
     both = a.select(*by, key, F.col(value).alias("_a")).join(b.select(*by, key, F.col(value).alias("_b")), [*by, key]).groupBy(*by).agg(F.sum(F.col("_a") * F.col("_b")).alias("_d"))
     out = size(a, "_qa").join(size(b, "_qb"), by).join(both, by, "left")

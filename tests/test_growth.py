@@ -30,6 +30,11 @@ def authors(spark, pairs):
     return spark.createDataFrame(pairs, "PublicationId long, AuthorId long")
 
 
+def test_sparse_cosine_of_large_counts(spark):
+    a = spark.createDataFrame([(0, "x", 4_000_000_000), (0, "y", 3_000_000_000)], "g int, k string, n long")
+    assert abs(arrays.sparse_cosine(a, a, ["g"], "k", "n").first()["Cosine"] - 1) < 1e-12
+
+
 def test_parts_grow_with_the_input(spark, tmp_path):
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.range(3_000_000).select("id", F.rand(1).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/large")
