@@ -54,3 +54,8 @@ def test_tasks_that_read_keep_no_map_of_references(spark):
             assert not any("Aggregate" in x for x in lines[1][below:at])
 
 
+def test_disruption_skips_references_of_the_uncited(spark):
+    rows, n = shuffled(spark, lambda: C.disruption(refs(spark, [(i, 1) for i in range(10, 610)] + [(5, 10), (10, 2)])))
+    assert {r.PublicationId for r in rows} == {1, 2, 10} and n < 20_000
+
+
