@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from scholarmill.schema import MetricError
+from scholarmill.session import spread
+
+#: Numbers in a batch of series that are fitted together; a longer series is a batch of its own.
+FIT_CELLS = 200_000
 
 
 def _best_step(y: np.ndarray) -> tuple[float, int, int]:
@@ -121,47 +127,71 @@ def predicted_citations(t: np.ndarray, lam: float, mu: float, sig: float, m: flo
     return m * (np.exp(lam * 0.5 * (1 + _erf((np.log(t) - mu) / sig / math.sqrt(2)))) - 1)
 
 
-def _fit_longterm(t: np.ndarray) -> tuple[float, float, float]:
-    """Levenberg-Marquardt from (1, 1, 1), with numeric derivatives."""
-    y, p, damp = np.arange(1, len(t) + 1, dtype=float), np.ones(3), 1e-2
+def _fit_longterm(series: list[np.ndarray]) -> np.ndarray:
+    """Levenberg-Marquardt from (1, 1, 1), with numeric derivatives, for many series at once: a row (lam, mu, sig) for each."""
+    n = [len(t) for t in series]
+    inside = np.arange(max(n)) < np.array(n)[:, None]
+    times = np.ones(inside.shape)
+    times[inside] = np.concatenate(series)
+    count = np.arange(1, max(n) + 1, dtype=float)
+    p, damp, left = np.ones((len(n), 3)), [1e-2] * len(n), list(range(len(n)))
 
-    def error(p: np.ndarray) -> np.ndarray:
+    def error(p: np.ndarray, rows: list[int]) -> np.ndarray:
         with np.errstate(all="ignore"):
-            return np.nan_to_num(predicted_citations(t, *p) - y, nan=1e9, posinf=1e9, neginf=-1e9)
+            return np.nan_to_num(predicted_citations(times[rows], *p.T[:, :, None]) - count, nan=1e9, posinf=1e9, neginf=-1e9)
 
-    r = error(p)
+    r = error(p, left)
     for _ in range(80):
-        jac = np.stack([(error(p + h) - r) / h[k] for k, h in enumerate(np.eye(3) * 1e-6)], 1)
-        a = jac.T @ jac
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -jac.T @ r, rcond=None)[0]
-        new = p + step
-        new[2] = max(abs(new[2]), 1e-3)
-        r2 = error(new)
-        if r2 @ r2 < r @ r:
-            small = np.abs(step).max() < 1e-9 or r @ r - r2 @ r2 < 1e-9 * (r @ r)
-            p, r, damp = new, r2, damp / 3
-            if small:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return float(p[0]), float(p[1]), float(p[2])
+        if not left:
+            break
+        now = p[left]
+        jac = np.stack([(error(now + h, left) - r) / h[k] for k, h in enumerate(np.eye(3) * 1e-6)], 2)
+        step = np.empty((len(left), 3))
+        # Sums are over each series by itself, as rounding decides where a flat fit stops.
+        for k, i in enumerate(left):
+            j = jac[k, : n[i]]
+            a = j.T @ j
+            step[k] = np.linalg.lstsq(a + damp[i] * np.diag(np.diag(a) + 1e-12), -j.T @ r[k, : n[i]], rcond=None)[0]
+        new = now + step
+        new[:, 2] = np.maximum(np.abs(new[:, 2]), 1e-3)
+        r2, size, go = error(new, left), np.abs(step).max(1), []
+        for k, i in enumerate(left):
+            x, y = r[k, : n[i]], r2[k, : n[i]]
+            was, is_ = x @ x, y @ y
+            if is_ < was:
+                p[i], r[k], damp[i] = new[k], r2[k], damp[i] / 3
+                if size[k] >= 1e-9 and was - is_ >= 1e-9 * was:
+                    go.append(k)
+            else:
+                damp[i] *= 4
+                if damp[i] <= 1e12:
+                    go.append(k)
+        left, r = [left[k] for k in go], r[go]
+    return p
 
 
 def longterm_impact(refs: DataFrame, by: str = "CitedPublicationId", date: str = "CitingYear") -> DataFrame:
     """(by, lam, mu, sig) of the log-normal citation model, fitted to the times since the first citation; nulls with fewer than three later ones. Dates count in days."""
     kind = dict(refs.dtypes)[date]
     when = F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) if kind in ("date", "timestamp") else F.col(date)
-    rows = refs.select(by, when.cast("double").alias("_t")).dropna()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        t = (t - t[0])[t > t[0]]
-        fit = _fit_longterm(t) if len(t) >= 3 else (np.nan,) * 3
-        return pd.DataFrame([(pdf[by].iloc[0], *(None if np.isnan(x) else x for x in fit))], columns=[by, "lam", "mu", "sig"]).astype({c: float for c in ("lam", "mu", "sig")})
-
-    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(refs.dtypes)[by]}, lam double, mu double, sig double")
+    rows = spread(refs.select(by, when.cast("double").alias("_t")).dropna(), by)
+    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    lists = lists.select(by, F.filter(F.transform("_ts", lambda t: t - F.col("_ts")[0]), lambda t: t > 0).alias("_ts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf.iloc[np.argsort(pdf["_ts"].map(len).to_numpy(), kind="stable")]
+            begin, series = 0, pdf["_ts"].tolist()
+            while begin < len(series):
+                end = begin + 1
+                while end < len(series) and len(series[end]) * (end + 1 - begin) <= FIT_CELLS:
+                    end += 1
+                yield pd.DataFrame({"_ts": series[begin:end]} | dict(zip(("lam", "mu", "sig"), _fit_longterm(series[begin:end]).T)))
+                begin = end
+
+    # Equal series have one fit.
+    fits = spread(lists.where(F.size("_ts") >= 3).select("_ts"), "_ts").distinct().mapInPandas(run, "_ts array<double>, lam double, mu double, sig double")
+    return lists.join(fits, "_ts", "left").select(by, *(F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("lam", "mu", "sig")))
 
 
 def louvain(ids: list, edges: list[tuple[int, int, float]], resolution: float = 1.0) -> list[int]:

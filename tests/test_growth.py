@@ -59,3 +59,15 @@ def test_disruption_skips_references_of_the_uncited(spark):
     assert {r.PublicationId for r in rows} == {1, 2, 10} and n < 20_000
 
 
+def test_longterm_fits_equal_series_once_and_alike(spark):
+    t = [2000, 2001, 2001, 2002, 2004, 2004, 2005]
+    df = spark.createDataFrame([(p, y) for p in range(400) for y in t] + [(p, y) for p in (500, 501) for y in (2000, 2001, 2003)], "CitedPublicationId long, CitingYear int")
+    rows = {r.CitedPublicationId: r for r in careers.longterm_impact(df).collect()}
+    assert len(rows) == 402 and rows[500].lam is None and len({(r.lam, r.mu, r.sig) for k, r in rows.items() if k < 400}) == 1
+    import numpy as np
+
+    one = careers._fit_longterm([np.array([1.0, 1, 2, 4, 4, 5])])[0]
+    several = careers._fit_longterm([np.array([1.0, 2, 3]), np.array([1.0, 1, 2, 4, 4, 5]), np.arange(1.0, 40)])
+    assert (one == several[1]).all() and abs(rows[0].lam - one[0]) == 0
+
+
