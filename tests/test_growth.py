@@ -59,6 +59,13 @@ def test_disruption_skips_references_of_the_uncited(spark):
     assert {r.PublicationId for r in rows} == {1, 2, 10} and n < 20_000
 
 
+def test_author_citations_travel_as_lists(spark):
+    e = refs(spark, [(i, 100) for i in range(20)])
+    a = authors(spark, [(i, 1000 + 40 * i + k) for i in range(20) for k in range(40)] + [(100, k) for k in range(50)])
+    rows, n = shuffled(spark, lambda: graph.author_citations(e, a))
+    assert len(rows) == 40_000 and all(abs(r.weight - 1 / 2000) < 1e-12 for r in rows) and n < 10_000
+
+
 def test_longterm_fits_equal_series_once_and_alike(spark):
     t = [2000, 2001, 2001, 2002, 2004, 2004, 2005]
     df = spark.createDataFrame([(p, y) for p in range(400) for y in t] + [(p, y) for p in (500, 501) for y in (2000, 2001, 2003)], "CitedPublicationId long, CitingYear int")
