@@ -59,6 +59,31 @@ def test_disruption_skips_references_of_the_uncited(spark):
     assert {r.PublicationId for r in rows} == {1, 2, 10} and n < 20_000
 
 
+def test_pivot_scores_look_back_without_a_join_of_careers(spark):
+    paa = spark.createDataFrame([(1, i, 2000 + i // 50) for i in range(300)], "AuthorId long, PublicationId long, Year int")
+    cited = spark.createDataFrame([(i, j) for i in range(300) for j in (i % 7, i % 3)], "CitingPublicationId long, CitedJournalId long")
+    rows, n = shuffled(spark, lambda: C.pivot_score(paa, cited, previous=3))
+    assert n < 3_000
+    vector = [{} for _ in range(300)]
+    for i in range(300):
+        for j in (i % 7, i % 3):
+            vector[i][j] = vector[i].get(j, 0) + 1
+
+    def want(i, past):
+        total = {}
+        for k in past:
+            for j, c in vector[k].items():
+                total[j] = total.get(j, 0) + c
+        if total:
+            return sum(c * total.get(j, 0) for j, c in vector[i].items()) / (sum(c * c for c in vector[i].values()) * sum(c * c for c in total.values())) ** 0.5
+
+    year = lambda i: 2000 + i // 50
+    for options, past in (({"previous": 3}, lambda i: range(max(0, i - 3), i)), ({"year_window": 1}, lambda i: [k for k in range(i) if year(k) >= year(i) - 1]), ({"previous": 9, "year_window": 0}, lambda i: [k for k in range(max(0, i - 9), i) if year(k) == year(i)]), ({}, range)):
+        for r in C.pivot_score(paa, cited, **options).collect():
+            w = want(r.PublicationId, past(r.PublicationId))
+            assert (r.PivotScore is None) == (w is None) and (w is None or abs(r.PivotScore - w) < 1e-9)
+
+
 def test_author_citations_travel_as_lists(spark):
     e = refs(spark, [(i, 100) for i in range(20)])
     a = authors(spark, [(i, 1000 + 40 * i + k) for i in range(20) for k in range(40)] + [(100, k) for k in range(50)])
