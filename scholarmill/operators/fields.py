@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scholarmill.schema import MetricError
+from scholarmill.session import cut_lineage, spread
+
+#: Pairs of fields whose distances are broadcast; more are joined by a shuffle.
+BROADCAST_PAIRS = 200_000
 
 
 def _sides(direction: str) -> tuple[str, str]:
@@ -16,13 +20,18 @@ def _sides(direction: str) -> tuple[str, str]:
     raise MetricError(direction)
 
 
+def _fields_of(edges: DataFrame, contributions: DataFrame) -> DataFrame:
+    """(PublicationId, FieldId, _w): the fields of each _t of edges (PublicationId, _t), parted by PublicationId; they travel as lists, one row an edge."""
+    lists = contributions.groupBy(F.col("PublicationId").alias("_t")).agg(F.collect_list(F.struct("FieldId", "_w")).alias("_l"))
+    return spread(edges.join(lists, "_t").select("PublicationId", "_l"), "PublicationId").select("PublicationId", F.inline("_l"))
+
+
 def _field_counts(pub2ref: DataFrame, pub2field: DataFrame, direction: str, focus: DataFrame | None) -> DataFrame:
     source, target = _sides(direction)
     edges = pub2ref.select(F.col(source).alias("PublicationId"), F.col(target).alias("_t")).dropna().distinct()
     if focus is not None:
         edges = edges.join(focus.select("PublicationId").distinct(), "PublicationId", "left_semi")
-    fields = pub2field.select(F.col("PublicationId").alias("_t"), "FieldId").dropna().distinct()
-    return edges.join(fields, "_t").groupBy("PublicationId", "FieldId").agg(F.count("*").alias("_n")).groupBy("PublicationId")
+    return _fields_of(edges, _contributions(pub2field, False)).groupBy("PublicationId", "FieldId").agg(F.count("*").alias("_n")).groupBy("PublicationId")
 
 
 def simpson_interdisciplinarity(pub2ref: DataFrame, pub2field: DataFrame, direction: str = "references", finite: bool = False, focus: DataFrame | None = None) -> DataFrame:
@@ -56,9 +65,11 @@ def field_citation_vectors(pub2ref: DataFrame, pub2field: DataFrame, normed: boo
     years = [year] if year else []
     edges = pub2ref.select(F.col(source).alias("_s"), F.col(target).alias("_t"), *years).dropna().distinct()
     c = _contributions(pub2field, normed)
-    a = c.toDF("_s", "SourceFieldId", "_a")
-    b = c.toDF("_t", "TargetFieldId", "_b")
-    out = edges.join(a, "_s").join(b, "_t").groupBy("SourceFieldId", "TargetFieldId", *years).agg(F.sum(F.col("_a") * F.col("_b")).alias("Weight"))
+    a = c.groupBy(F.col("PublicationId").alias("_s")).agg(F.collect_list(F.struct(F.col("FieldId").alias("SourceFieldId"), F.col("_w").alias("_a"))).alias("_la"))
+    b = c.groupBy(F.col("PublicationId").alias("_t")).agg(F.collect_list(F.struct(F.col("FieldId").alias("TargetFieldId"), F.col("_w").alias("_b"))).alias("_lb"))
+    # Lists of fields travel with the edges and are opened last, so that rows don't multiply before the sums.
+    both = edges.join(b, "_t").join(a, "_s").select("_la", *years, F.inline("_lb")).select("TargetFieldId", "_b", *years, F.inline("_la"))
+    out = both.groupBy("SourceFieldId", "TargetFieldId", *years).agg(F.sum(F.col("_a") * F.col("_b")).alias("Weight"))
     if normalise is None:
         return out
     side = {"source": "SourceFieldId", "target": "TargetFieldId"}[normalise]
@@ -129,8 +140,13 @@ def raostirling(pub2ref: DataFrame, pub2field: DataFrame, normed: bool = True, d
     edges = pub2ref.select(F.col(source).alias("PublicationId"), F.col(target).alias("_t")).dropna().distinct()
     if focus is not None:
         edges = edges.join(focus.select("PublicationId").distinct(), "PublicationId", "left_semi")
-    share = edges.join(_contributions(pub2field, normed).toDF("_t", "FieldId", "_w"), "_t").groupBy("PublicationId", "FieldId").agg(F.sum("_w").alias("_w"))
-    share = share.withColumn("_p", F.col("_w") / F.sum("_w").over(Window.partitionBy("PublicationId"))).select("PublicationId", "FieldId", "_p")
-    pairs = share.toDF("PublicationId", "iFieldId", "_pi").join(share.toDF("PublicationId", "jFieldId", "_pj"), "PublicationId").where("iFieldId < jFieldId")
-    value = pairs.join(distance.select("iFieldId", "jFieldId", "FieldDistance"), ["iFieldId", "jFieldId"]).groupBy("PublicationId").agg(F.sum(F.col("_pi") * F.col("_pj") * F.col("FieldDistance")).alias("RaoStirling"))
-    return share.select("PublicationId").distinct().join(value, "PublicationId", "left").fillna(0.0, ["RaoStirling"])
+    share = _fields_of(edges, _contributions(pub2field, normed)).groupBy("PublicationId", "FieldId").agg(F.sum("_w").alias("_w"))
+    # A publication's pairs of fields are made from its list, and added up where they are made.
+    lists = share.groupBy("PublicationId").agg(F.array_sort(F.collect_list(F.struct("FieldId", "_w"))).alias("_l"), F.sum("_w").alias("_s"))
+    pairs = lists.select("PublicationId", "_s", "_l", F.posexplode("_l").alias("_k", "_x"))
+    pairs = pairs.select("PublicationId", "_s", "_x", F.explode(F.slice("_l", F.col("_k") + 2, F.size("_l"))).alias("_y"))
+    pairs = pairs.select("PublicationId", F.col("_x.FieldId").alias("iFieldId"), F.col("_y.FieldId").alias("jFieldId"), (F.col("_x._w") / F.col("_s") * (F.col("_y._w") / F.col("_s"))).alias("_p"))
+    distance = cut_lineage(distance.select("iFieldId", "jFieldId", "FieldDistance"))
+    near = F.broadcast(distance) if distance.count() <= BROADCAST_PAIRS else distance
+    value = pairs.join(near, ["iFieldId", "jFieldId"]).groupBy("PublicationId").agg(F.sum(F.col("_p") * F.col("FieldDistance")).alias("RaoStirling"))
+    return lists.select("PublicationId").join(value, "PublicationId", "left").fillna(0.0, ["RaoStirling"])

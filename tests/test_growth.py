@@ -84,6 +84,14 @@ def test_pivot_scores_look_back_without_a_join_of_careers(spark):
             assert (r.PivotScore is None) == (w is None) and (w is None or abs(r.PivotScore - w) < 1e-9)
 
 
+def test_field_pairs_are_not_shuffled(spark):
+    e = refs(spark, [(i, 1000 + i % 20) for i in range(100)])
+    fields = spark.createDataFrame([(1000 + k, f) for k in range(20) for f in range(30)] + [(i, i % 30) for i in range(100)], "PublicationId long, FieldId int")
+    distance = spark.createDataFrame([(i, j, 1.0) for i in range(30) for j in range(i + 1, 30)], "iFieldId int, jFieldId int, FieldDistance double")
+    rows, n = shuffled(spark, lambda: FD.raostirling(e, fields, distance=distance))
+    assert n < 6_000 and len(rows) == 100 and all(abs(r.RaoStirling - 435 / 900) < 1e-9 for r in rows)
+
+
 def test_author_citations_travel_as_lists(spark):
     e = refs(spark, [(i, 100) for i in range(20)])
     a = authors(spark, [(i, 1000 + 40 * i + k) for i in range(20) for k in range(40)] + [(100, k) for k in range(50)])
