@@ -59,6 +59,14 @@ def test_disruption_skips_references_of_the_uncited(spark):
     assert {r.PublicationId for r in rows} == {1, 2, 10} and n < 20_000
 
 
+def test_credit_is_shared_without_pairs_of_references(spark):
+    e = refs(spark, [(1, b) for b in range(10, 410)] + [(2, 10), (2, 11)])
+    rows, n = shuffled(spark, lambda: C.credit_share(e, authors(spark, [(b, 7) for b in range(10, 410)] + [(11, 8)]), normed=False))
+    got = {(r.PublicationId, r.AuthorId): r.CreditShare for r in rows}
+    assert n < 20_000 and len(got) == 401
+    assert got[10, 7] == 399.5 + 1.5 and got[11, 8] == 0.5 + 0.5 and got[12, 7] == 399.5
+
+
 def test_pivot_scores_look_back_without_a_join_of_careers(spark):
     paa = spark.createDataFrame([(1, i, 2000 + i // 50) for i in range(300)], "AuthorId long, PublicationId long, Year int")
     cited = spark.createDataFrame([(i, j) for i in range(300) for j in (i % 7, i % 3)], "CitingPublicationId long, CitedJournalId long")
