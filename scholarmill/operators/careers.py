@@ -257,12 +257,19 @@ def career_topics(paa: DataFrame, pub2ref: DataFrame, year: str = "Year") -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["PublicationId", "CitedPublicationId"])
-        ids = pdf["PublicationId"].drop_duplicates().tolist()
-        at = {x: i for i, x in enumerate(ids)}
-        links: set[tuple[int, int]] = set()
-        for _, x in pdf.groupby("CitedPublicationId")["PublicationId"]:
-            own = sorted(at[i] for i in x)
-            links |= {(a, b) for k, a in enumerate(own) for b in own[k + 1 :]}
+        at, ids = pd.factorize(pdf["PublicationId"])
+        ids = ids.tolist()
+        cited = pd.factorize(pdf["CitedPublicationId"])[0]
+        # References in order, each with its citers in order; those of one citer make no links.
+        order = np.lexsort((at, cited))
+        size = np.bincount(cited)
+        ends = np.cumsum(size)
+        found = [np.empty(0, dtype=np.int64)]
+        for k in np.flatnonzero(size > 1):
+            own = at[order[ends[k] - size[k] : ends[k]]].astype(np.int64)
+            i, j = np.triu_indices(len(own), 1)
+            found.append(own[i] * len(ids) + own[j])
+        links = [divmod(x, len(ids)) for x in np.unique(np.concatenate(found)).tolist()]
         parent = list(range(len(ids)))
 
         def root(i: int) -> int:
@@ -271,14 +278,15 @@ def career_topics(paa: DataFrame, pub2ref: DataFrame, year: str = "Year") -> Dat
                 i = parent[i]
             return i
 
-        for a, b in sorted(links):
+        for a, b in links:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
         roots = [root(i) for i in range(len(ids))]
-        big = min(set(roots), key=lambda r: (-roots.count(r), r))
+        members = Counter(roots)
+        big = min(members, key=lambda r: (-members[r], r))
         keep = [i for i, r in enumerate(roots) if r == big]
         number = {v: k for k, v in enumerate(keep)}
-        own = [(number[a], number[b], 1.0) for a, b in sorted(links) if a in number]
+        own = [(number[a], number[b], 1.0) for a, b in links if a in number]
         topics = louvain([ids[v] for v in keep], own)
         degree = np.bincount([x for a, b, _ in own for x in (a, b)], minlength=len(keep)) if own else [0] * len(keep)
         years = pdf.drop_duplicates("PublicationId")[year].tolist()

@@ -119,3 +119,11 @@ def test_longterm_fits_equal_series_once_and_alike(spark):
     assert (one == several[1]).all() and abs(rows[0].lam - one[0]) == 0
 
 
+def test_topics_of_a_career_with_many_parts(spark):
+    import time
+
+    paa = spark.createDataFrame([(1, i, 2000) for i in range(60_000)], "AuthorId long, PublicationId long, Year int")
+    e = refs(spark, [(i, 100_000 + i // 2) for i in range(60_000)])
+    began = time.perf_counter()
+    rows = careers.career_topics(paa, e).collect()
+    assert [(r.PublicationId, r.TopicCommunity, r.Degree) for r in rows] == [(0, 0, 1), (1, 0, 1)] and time.perf_counter() - began < 15
