@@ -127,7 +127,7 @@ def predicted_citations(t: np.ndarray, lam: float, mu: float, sig: float, m: flo
     return m * (np.exp(lam * 0.5 * (1 + _erf((np.log(t) - mu) / sig / math.sqrt(2)))) - 1)
 
 
-def _fit_longterm(series: list[np.ndarray]) -> np.ndarray:
+def _fit_many(series: list[np.ndarray]) -> np.ndarray:
     """Levenberg-Marquardt from (1, 1, 1), with numeric derivatives, for many series at once: a row (lam, mu, sig) for each."""
     n = [len(t) for t in series]
     inside = np.arange(max(n)) < np.array(n)[:, None]
@@ -170,6 +170,11 @@ def _fit_longterm(series: list[np.ndarray]) -> np.ndarray:
     return p
 
 
+def _fit_longterm(t: np.ndarray) -> tuple[float, float, float]:
+    """The fit of one series."""
+    return tuple(map(float, _fit_many([t])[0]))
+
+
 def longterm_impact(refs: DataFrame, by: str = "CitedPublicationId", date: str = "CitingYear") -> DataFrame:
     """(by, lam, mu, sig) of the log-normal citation model, fitted to the times since the first citation; nulls with fewer than three later ones. Dates count in days."""
     kind = dict(refs.dtypes)[date]
@@ -186,7 +191,7 @@ def longterm_impact(refs: DataFrame, by: str = "CitedPublicationId", date: str =
                 end = begin + 1
                 while end < len(series) and len(series[end]) * (end + 1 - begin) <= FIT_CELLS:
                     end += 1
-                yield pd.DataFrame({"_ts": series[begin:end]} | dict(zip(("lam", "mu", "sig"), _fit_longterm(series[begin:end]).T)))
+                yield pd.DataFrame({"_ts": series[begin:end]} | dict(zip(("lam", "mu", "sig"), _fit_many(series[begin:end]).T)))
                 begin = end
 
     # Equal series have one fit.
