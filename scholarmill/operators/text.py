@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scholarmill.functions.text import indel_ratio, strip_accents
+from scholarmill.session import cut_lineage, spread
 
 #: Common English words, left out of word networks unless others are given.
 STOP_WORDS = tuple("a about after all also an and any are as at be because been but by can could did do does each for from had has have he her his how i if in into is it its just like may more most no not of on one or other our out over she should so some such than that the their them then there these they this those through to too under up use very was we were what when where which while who will with would you your".split())
@@ -18,6 +19,11 @@ def align_publications(left: DataFrame, right: DataFrame | None = None, exact: l
     three-letter TF-IDF vectors (weights from left), the best ntop of at least
     min_cosine, and of these the best by the ratio of common letters, at least
     min_ratio. right None matches left with itself, ids apart. Nulls match nothing.
+
+    Equal titles are searched once. A pair of min_cosine must share one of the
+    rarest letters of both, those without which the rest of the vector is
+    shorter than min_cosine; only pairs that do are compared, without a loss.
+    Cosines count as equal to twelve digits, and the least id is taken.
     """
     exact = ["Year"] if exact is None else exact
     own = right is None
@@ -29,24 +35,56 @@ def align_publications(left: DataFrame, right: DataFrame | None = None, exact: l
     if not approximate:
         return a.join(b, exact).where(differ).groupBy(key).agg(F.min("match").alias("match"))
 
-    def grams(df: DataFrame, id_: str, text: str) -> DataFrame:
-        rows = df.select(id_, *exact, F.col(text).alias("_t")).where(F.length("_t") >= 3)
-        each = rows.select(id_, *exact, F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - 2), lambda i: F.substring(F.col("_t"), i, F.lit(3)))).alias("g"))
-        return each.groupBy(id_, *exact, "g").agg(F.count("*").alias("tf"))
+    # Titles with their exact columns: what has the same is one text, with a 128-bit name.
+    def texts(df: DataFrame, id_: str, text: str) -> DataFrame:
+        rows = df.groupBy(id_, *exact).agg(F.array_sort(F.collect_list(text)).alias("_t"))
+        return rows.withColumn("_p", F.md5(F.to_json(F.struct(*exact, "_t")).cast("binary")))
+
+    mine = cut_lineage(texts(a, key, approximate))
+    theirs = mine.withColumnRenamed(key, "match") if own else cut_lineage(texts(b, "match", "_other"))
+
+    def grams(rows: DataFrame) -> DataFrame:
+        each = rows.select("_p", F.explode("_t").alias("_x")).where(F.length("_x") >= 3)
+        each = each.select("_p", F.explode(F.transform(F.sequence(F.lit(1), F.length("_x") - 2), lambda i: F.substring(F.col("_x"), i, F.lit(3)))).alias("g"))
+        return each.groupBy("_p", "g").agg(F.count("*").alias("tf"))
 
-    ga, gb = grams(a, key, approximate), grams(b, "match", "_other")
+    left_texts = mine.groupBy("_p").agg(F.count("*").alias("_m"), *(F.first(c).alias(c) for c in [*exact, "_t"]))
+    right_texts = left_texts if own else theirs.groupBy("_p").agg(*(F.first(c).alias(c) for c in [*exact, "_t"]))
+    ga = grams(left_texts)
     n = a.agg(F.count("*").alias("_n"))
-    idf = ga.groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("g", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = ga.join(left_texts.select("_p", "_m"), "_p").groupBy("g").agg(F.sum("_m").alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).select("g", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
-    def weighted(g: DataFrame, id_: str, name: str) -> DataFrame:
-        w = g.join(idf, "g").withColumn("_w", F.col("tf") * F.col("idf"))
-        size = w.groupBy(id_, *exact).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_z"))
-        return w.join(size, [id_, *exact]).select(id_, *exact, "g", (F.col("_w") / F.col("_z")).alias(name))
+    def weighted(rows: DataFrame, g: DataFrame) -> DataFrame:
+        """(_p, _v: weights of letters, _rare: the rarest letters, exact)."""
+        w = spread(g.join(idf, "g").withColumn("_w", F.col("tf") * F.col("idf")), "_p")
+        of = Window.partitionBy("_p")
+        w = w.withColumn("_w", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(of)))
+        rarer = F.sum(F.col("_w") * F.col("_w")).over(of.orderBy(F.desc("idf"), "g").rowsBetween(Window.unboundedPreceding, -1))
+        w = w.withColumn("_rest", 1 - F.coalesce(rarer, F.lit(0.0)))
+        rare = F.when(F.col("_rest") >= max(0.0, min_cosine - 1e-9) ** 2 - 1e-12, F.col("g"))
+        vectors = w.groupBy("_p").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "_w")))).alias("_v"), F.collect_list(rare).alias("_rare"))
+        return cut_lineage(vectors.join(rows.select("_p", *exact), "_p"))
 
-    pairs = weighted(ga, key, "wa").join(weighted(gb, "match", "wb"), ["g", *exact]).where(differ)
-    scored = pairs.groupBy(key, "match").agg(F.sum(F.col("wa") * F.col("wb")).alias("Cosine")).where(F.col("Cosine") >= min_cosine)
-    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("Cosine"), "match"))).where(F.col("_r") <= ntop)
-    named = top.join(a.select(key, F.col(approximate).alias("_mine")).dropDuplicates([key]), key).join(b.select("match", "_other").dropDuplicates(["match"]), "match")
+    va = weighted(left_texts, ga)
+    vb = va if own else weighted(right_texts, grams(right_texts))
+    x = spread(va.select("_p", *exact, "_v", F.explode("_rare").alias("g")), *exact, "g")
+    y = spread(vb.select("_p", *exact, "_v", F.explode("_rare").alias("g")), *exact, "g").withColumnsRenamed({"_p": "_q", "_v": "_u"})
+    # Of texts of one table, each pair is compared once, and each text with itself.
+    compared = x.join(y, [*exact, "g"])
+    if own:
+        compared = compared.where("_p < _q")
+    dot = F.aggregate(F.map_entries("_v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_u", e["key"]), F.lit(0.0)))
+    pairs = compared.select("_p", "_q", F.round(dot, 12).alias("Cosine")).where(F.col("Cosine") >= min_cosine).distinct()
+    if own:
+        itself = va.select("_p", F.col("_p").alias("_q"), F.lit(1.0).alias("Cosine"))
+        pairs = pairs.select("_p", F.explode(F.array(F.struct("_p", "_q"), F.struct(F.col("_q").alias("_p"), F.col("_p").alias("_q")))).alias("_x"), "Cosine").select("_x._p", "_x._q", "Cosine").union(itself)
+    # One more than asked for, as a row isn't its own match.
+    ids = theirs.groupBy(F.col("_p").alias("_q")).agg(F.slice(F.array_sort(F.collect_set("match")), 1, ntop + 1).alias("_ids"), F.first("_t")[0].alias("_other"))
+    named = pairs.join(ids, "_q").select("_p", "Cosine", "_other", F.explode("_ids").alias("match"))
+    top = named.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("Cosine"), "match"))).where(F.col("_r") <= ntop + 1)
+    named = mine.select(key, "_p", F.col("_t")[0].alias("_mine")).join(top.drop("_r"), "_p").where(differ)
+    named = named.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("Cosine"), "match"))).where(F.col("_r") <= ntop)
     checked = named.withColumn("Ratio", indel_ratio("_mine", "_other")).where(F.col("Ratio") >= min_ratio)
     best = Window.partitionBy(key).orderBy(F.desc("Ratio"), F.desc("Cosine"), "match")
     return checked.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "match", "Cosine", "Ratio")

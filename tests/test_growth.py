@@ -114,8 +114,8 @@ def test_longterm_fits_equal_series_once_and_alike(spark):
     assert len(rows) == 402 and rows[500].lam is None and len({(r.lam, r.mu, r.sig) for k, r in rows.items() if k < 400}) == 1
     import numpy as np
 
-    one = careers._fit_longterm([np.array([1.0, 1, 2, 4, 4, 5])])[0]
-    several = careers._fit_longterm([np.array([1.0, 2, 3]), np.array([1.0, 1, 2, 4, 4, 5]), np.arange(1.0, 40)])
+    one = careers._fit_many([np.array([1.0, 1, 2, 4, 4, 5])])[0]
+    several = careers._fit_many([np.array([1.0, 2, 3]), np.array([1.0, 1, 2, 4, 4, 5]), np.arange(1.0, 40)])
     assert (one == several[1]).all() and abs(rows[0].lam - one[0]) == 0
 
 
@@ -127,3 +127,13 @@ def test_topics_of_a_career_with_many_parts(spark):
     began = time.perf_counter()
     rows = careers.career_topics(paa, e).collect()
     assert [(r.PublicationId, r.TopicCommunity, r.Degree) for r in rows] == [(0, 0, 1), (1, 0, 1)] and time.perf_counter() - began < 15
+
+
+def test_fuzzy_matches_are_found_without_all_pairs(spark):
+    from scholarmill.operators import text as T
+
+    names = [(i, 1, f"Paper number {i * 7919 % 100_003:06d}") for i in range(1_500)] + [(i, 1, "One title of many") for i in range(9_000, 9_300)]
+    df = spark.createDataFrame(names, "PublicationId long, Year int, Title string")
+    rows, n = shuffled(spark, lambda: T.align_publications(df))
+    got = {r.PublicationId: (r.match, r.Cosine) for r in rows}
+    assert n < 200_000 and got[9_000] == (9_001, 1.0) and all(got[i] == (9_000, 1.0) for i in range(9_001, 9_300))
